@@ -11,6 +11,25 @@ from strandlake.llm.leaks import find_leaks
 from strandlake.llm.pack import pack, token_sizes
 from strandlake.llm.split import split_oversized
 from strandlake.llm.sql import SQL  # noqa: F401  (the driver reads it here)
+from strandlake.llm.survivors import TruthDiscovery, entries_of, field_kinds, micros_of
+
+
+def _truth(spark: SparkSession, d: str) -> tuple[TruthDiscovery, DataFrame]:
+    entries = entries_of(spark.read.parquet(f"{d}/merged_callset.parquet"), "mg_index", "mg_src", "src_name", "var_index")
+    calls = spark.read.parquet(f"{d}/variant_calls.parquet").withColumnsRenamed({"src_name": "source", "var_index": "item"})
+    trust = spark.read.parquet(f"{d}/callset_def.parquet").select(F.col("src_name").alias("source"), F.col("trust_rank").alias("rank"))
+    fields = field_kinds(["id", "varlen", "ref", "alt", "filter", "seq"], calls)
+    return TruthDiscovery(entries, calls, trust, fields, micros_of("called_at")), entries
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    decided = _truth(spark, d)[0].decided()
+    return decided.select(F.col("group").alias("mg_index"), F.col("base.source").alias("src_name"), F.col("base.item").alias("var_index"))
+
+
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    truth, entries = _truth(spark, d)
+    return truth.survivors(entries).withColumnsRenamed({"group": "mg_index", "source": "src_name", "item": "var_index"})
 
 
 def _copies(spark: SparkSession, d: str) -> CopyGroups:
@@ -47,4 +66,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where("piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_representatives, p6_found, p8_containers, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p5_found, p5_representatives, p6_found, p8_containers, p9_found, p10_found, p10_pieces)}

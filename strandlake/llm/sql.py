@@ -7,7 +7,15 @@ _COPIES = f"""plain as (select *, regexp_replace(upper(ref), '[^A-Z0-9,;/|]+', '
 keyed as (select call_id, src_name, chrom, pos, "end" e, vartype, {_CANON.format("ref")} cr, {_CANON.format("alt")} ca from plain
   where call_id is not null and src_name is not null and chrom is not null and pos is not null and "end" is not null and vartype is not null and ref is not null and alt is not null)"""
 
+_GONE = "case when {0} is null or regexp_full_match({0}, '\\s*\\.?\\s*') then 1 else 0 end"
+
 SQL = {
+    "p4_found": f"""with e as (select mg_index, unnest(mg_src) s from merged_callset),
+c as (select distinct mg_index, v.src_name, v.var_index, called_at, coalesce(trust_rank, 1000000000) trust,
+  {_GONE.format("id")} + {_GONE.format("ref")} + {_GONE.format("alt")} + {_GONE.format("seq")} + (varlen is null)::int + (filter is null)::int gone
+  from e join variant_calls v on v.src_name = e.s.src_name and v.var_index = e.s.var_index left join callset_def d on d.src_name = v.src_name)
+select mg_index, src_name, var_index from c
+qualify row_number() over (partition by mg_index order by gone, called_at desc nulls last, trust, src_name, var_index) = 1""",
     "p5_found": f"""with {_COPIES},
 g as (select call_id, min(call_id) over (partition by src_name, chrom, pos, e, vartype, cr, ca) first_call_id from keyed)
 select first_call_id, call_id from g where call_id > first_call_id""",
