@@ -27,8 +27,8 @@ STANDARD_FIELDS: dict[str, tuple[str, ...]] = {
     "insdel": ("chrom", "pos", "end", "id", "vartype", "varlen", "filter", "seq"),
     "inv": ("chrom", "pos", "end", "id", "vartype", "varlen", "filter", "seq"),
     "dup": ("chrom", "pos", "end", "id", "vartype", "varlen", "filter", "seq"),
-    "sub": ("chrom", "pos", "end", "id", "vartype", "varlen", "filter", "ref", "alt", "seq"),
-    "cpx": ("chrom", "pos", "end", "id", "vartype", "varlen", "filter", "seq"),
+    "sub": ("chrom", "pos", "end", "id", "vartype", "varlen", "ref", "alt", "filter"),
+    "cpx": ("chrom", "pos", "end", "id", "vartype", "varlen", "filter"),
 }
 
 
