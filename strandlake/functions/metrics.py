@@ -5,10 +5,15 @@ Measures are FLOAT, and ratios are guarded: 0/0 is NaN, x/0 is infinite, as in I
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+
+
+def _nan() -> Column:
+    return F.lit(float("nan"))
 
 
 def f32(value: float) -> Column:
@@ -18,7 +23,7 @@ def f32(value: float) -> Column:
 
 def ratio(num: Column, den: Column) -> Column:
     """num / den as DOUBLE; num and den are not negative (or num is clipped afterwards)."""
-    return F.when(den != 0, num.cast("double") / F.when(den != 0, den.cast("double"))).when(num == 0, NAN).when(num > 0, INF).when(num < 0, -INF)
+    return F.when(den != 0, num.cast("double") / F.when(den != 0, den.cast("double"))).when(num == 0, _nan()).when(num > 0, F.lit(math.inf)).when(num < 0, F.lit(-math.inf))
 
 
 def reciprocal_overlap() -> Column:
@@ -26,7 +31,7 @@ def reciprocal_overlap() -> Column:
     shared = F.least("_end_ro_a", "_end_ro_b") - F.greatest("pos_a", "pos_b")
     larger = F.greatest("varlen_a", "varlen_b")
     value = F.greatest(F.least(ratio(shared, larger), F.lit(1.0)), F.lit(0.0))
-    return F.when(larger == 0, NAN).otherwise(value).cast("float")
+    return F.when(larger == 0, _nan()).otherwise(value).cast("float")
 
 
 def size_reciprocal() -> Column:

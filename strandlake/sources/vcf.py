@@ -27,8 +27,10 @@ _RESERVED_FORMAT = {"vcf_rec", "vcf_sample"}
 
 
 def read_vcf_header(path: str | os.PathLike, warn_invalid: bool = False) -> VcfHeader:
-    """The header of a ``.vcf`` or ``.vcf.gz`` file."""
+    """The header of a ``.vcf`` or ``.vcf.gz`` file, or of a folder as ``write_vcf`` makes it."""
     lines = []
+    if os.path.isdir(path):
+        path = min(os.path.join(at, f) for at, _, files in os.walk(path) for f in files if f.startswith("part-") and os.path.getsize(os.path.join(at, f)))
     with open_text(path) as f:
         for line in f:
             if not line.startswith("#"):
@@ -97,25 +99,28 @@ class VcfTables:
 
 
 def read_vcf(spark: SparkSession, path: str | os.PathLike, chrom: str | None = None, start: int | None = None, end: int | None = None) -> VcfTables:
-    """The tables of a VCF file, optionally of the records that touch a region (0-based half-open).
+    """The tables of a VCF file (or a folder of its parts), optionally of the records that touch a region (0-based half-open).
 
     ``start`` and ``end`` need ``chrom``, and start <= end.  A missing file is a FileNotFoundError.
     Alleles with brackets, of unknown type, or insertions without a length are in ``ignored`` with
     the reason.  Lines of fewer than 8 fields are skipped.  Values that are not of their declared
     type are null.  BCF and tabix indexes are not read.
     """
-    path = os.fspath(path)
-    if not os.path.exists(path):
+    path = os.fspath(path).removeprefix("file://")
+    remote = "://" in path
+    if not remote and not os.path.exists(path):
         raise FileNotFoundError(path)
     if chrom is None and (start is not None or end is not None):
         raise ValueError("start and end need a chromosome")
     if start is not None and end is not None and start > end:
         raise ValueError("start is after end")
-    header = read_vcf_header(path)
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    # a header is small; of a remote file it is found by a scan
+    header = parse_header([r.value for r in text.where(F.col("value").startswith("#")).collect()]) if remote else read_vcf_header(path)
     clash = _RESERVED_FORMAT & {f.id for f in header.formats}
     if clash:
         raise ValueError(f"FORMAT fields of reserved names: {sorted(clash)}")
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    lines = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
     records = with_index(lines, name="vcf_rec").select("vcf_rec", f.alias("f")).where(F.size("f") >= 8)
     at = lambda i: F.get("f", F.lit(i))
