@@ -20,7 +20,7 @@ from strandlake.llm.hot import attach
 from strandlake.session import bounded, stage
 
 #: Links that one task holds at a time (16 bytes each).
-TASK_LINKS = 2_000_000
+TASK_LINKS = 500_000
 _PAIR = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
 
