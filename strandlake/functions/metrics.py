@@ -26,17 +26,22 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / F.when(den != 0, den.cast("double"))).when(num == 0, _nan()).when(num > 0, F.lit(math.inf)).when(num < 0, F.lit(-math.inf))
 
 
+def _lengths_known(value: Column) -> Column:
+    """Null where a length is: ``least`` and ``greatest`` would take the other side's."""
+    return F.when(F.col("varlen_a").isNotNull() & F.col("varlen_b").isNotNull(), value).cast("float")
+
+
 def reciprocal_overlap() -> Column:
-    """Shared length over the larger length, between 0 and 1; NaN if both lengths are 0."""
+    """Shared length over the larger length, between 0 and 1; NaN if both lengths are 0, null if one is null."""
     shared = F.least("_end_ro_a", "_end_ro_b") - F.greatest("pos_a", "pos_b")
     larger = F.greatest("varlen_a", "varlen_b")
     value = F.greatest(F.least(ratio(shared, larger), F.lit(1.0)), F.lit(0.0))
-    return F.when(larger == 0, _nan()).otherwise(value).cast("float")
+    return _lengths_known(F.when(larger == 0, _nan()).otherwise(value))
 
 
 def size_reciprocal() -> Column:
-    """Smaller length over larger length."""
-    return ratio(F.least("varlen_a", "varlen_b"), F.greatest("varlen_a", "varlen_b")).cast("float")
+    """Smaller length over larger length; null if one is null."""
+    return _lengths_known(ratio(F.least("varlen_a", "varlen_b"), F.greatest("varlen_a", "varlen_b")))
 
 
 def offset_distance() -> Column:
@@ -45,9 +50,9 @@ def offset_distance() -> Column:
 
 
 def offset_proportion() -> Column:
-    """Offset distance over the smaller length."""
+    """Offset distance over the smaller length; null if a length is."""
     d = F.greatest(F.abs(F.col("pos_a") - F.col("pos_b")), F.abs(F.col("end_a") - F.col("end_b")))
-    return ratio(d, F.least("varlen_a", "varlen_b")).cast("float")
+    return _lengths_known(ratio(d, F.least("varlen_a", "varlen_b")))
 
 
 def at_least(value: Column, limit: float) -> Column:

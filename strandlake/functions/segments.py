@@ -32,4 +32,4 @@ def segment_overlap(a: str = "_a", b: str = "_b") -> Column:
     loose = F.least(*[span(s) - total(F.col(f"seg{s}"), lambda x: length(x, "qry_")) for s in (a, b)])
     larger = F.greatest(span(a), span(b))
     value = F.when(larger != 0, (aligned + loose) / F.when(larger != 0, larger))
-    return F.when(sa.isNull() | sb.isNull(), F.lit(1.0)).otherwise(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0))).cast("float")
+    return F.when(sa.isNull() | sb.isNull(), F.lit(1.0)).when(larger != 0, F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0))).cast("float")

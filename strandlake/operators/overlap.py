@@ -286,7 +286,7 @@ class PairwiseOverlap:
         ``retain_index`` by their ``_index``.  ``match_prop`` is null unless a stage asks for it.
 
         Defined cases: rows with a null chromosome or coordinate are in no pair; null alleles, types
-        and filters match nothing; if both lengths are 0 there is no reciprocal overlap; of several
+        and filters match nothing; measures of a null length are null and fulfil no condition; if both lengths are 0 there is no reciprocal overlap; of several
         stages the row with the largest weight (null as the strategy's ``missing``) stays, then that
         of the earlier stage; repeated rows pair each on its own; empty tables give no rows; other
         columns are only read where a user's expression names them.

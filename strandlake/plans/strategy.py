@@ -92,6 +92,8 @@ class _Reader:
         return tuple(out)
 
     def argument(self) -> tuple[str | None, Any]:
+        if not self.peek():
+            self.fail("a value or ')' is expected")
         follows = self.tokens[self.at + 1]["mark"] if self.at + 1 < len(self.tokens) else None
         if self.tokens[self.at]["word"] and follows == "=":
             name = self.word().lower()

@@ -150,12 +150,14 @@ def read_vcf(spark: SparkSession, path: str | os.PathLike, chrom: str | None = N
     def info(name: str) -> Column:
         return F.get("values", F.array_position("keys", F.lit(name)).cast("int") - 1)
 
-    def first(name: str) -> Column:
-        return _text(F.substring_index(info(name), ",", 1))
+    def of_allele(name: str) -> Column:
+        """The allele's own value if there is one per allele, else the first."""
+        told = F.split(info(name), ",")
+        return _text(F.get(told, F.when(F.size(told) == F.size("alts"), F.col("k")).otherwise(F.lit(0))))
 
     alleles = records.select("*", F.posexplode("alts").alias("k", "vcf_alt")).where("vcf_alt <> '.'").withColumn("vcf_allele", F.col("k") + 1)
     pos0, alt = F.col("vcf_pos") - 1, F.col("vcf_alt")
-    symbolic = symbolic_allele(pos0, alt, first("SVTYPE"), first("SVLEN").try_cast("long"), first("END").try_cast("long"), first("SEQ"))
+    symbolic = symbolic_allele(pos0, alt, of_allele("SVTYPE"), of_allele("SVLEN").try_cast("long"), of_allele("END").try_cast("long"), of_allele("SEQ"))
     alleles = alleles.withColumn("s", F.when(alt.startswith("<"), symbolic)).withColumn("q", F.when(~alt.startswith("<"), sequence_allele(pos0, F.col("vcf_ref"), alt)))
     for name in ("vartype", "varlen", "ref", "alt", "seq", "pos", "end"):
         alleles = alleles.withColumn(name, F.coalesce(F.col(f"s.{name}"), F.col(f"q.{name}")))

@@ -39,8 +39,9 @@ def vcf_lines(df: DataFrame, alt_format: str = "seq", sample_name: str | None =
     """``chrom, vcf_pos, vcf_rec, line``: one record per ``vcf_rec``, its alleles in order of ``vcf_allele``.
 
     A record's alleles are one group; their number is that of a file's ALT field.  INFO values are
-    those of the first allele. ``symbolic`` writes structural alleles as ``<TYPE>`` with their
-    sequence in INFO/SEQ.  A null filter is ``.``, an empty one PASS.
+    those of the first allele.  ``symbolic`` writes structural alleles as ``<TYPE>`` with their
+    sequence in INFO/SEQ, each as a record of its own at ``pos`` + 1 (where the table has ``pos``),
+    so that reading gives its coordinates again.  A null filter is ``.``, an empty one PASS.
     """
     if alt_format not in ("seq", "symbolic"):
         raise ValueError(f"alt_format {alt_format!r} is not 'seq' or 'symbolic'")
@@ -48,9 +49,14 @@ def vcf_lines(df: DataFrame, alt_format: str = "seq", sample_name: str | None =
     check_columns(df, needed)
     have = set(df.columns)
     get = lambda c, t="string": F.col(c) if c in have else F.lit(None).cast(t)
-    alt = F.col("vcf_alt")
+    alt, own_record = F.col("vcf_alt"), F.lit(0)
     if alt_format == "symbolic":
-        alt = F.when(F.col("vartype").isin(*_SYMBOLIC), F.concat(F.lit("<"), F.col("vartype"), F.lit(">"))).otherwise(alt)
+        structural = F.col("vartype").isin(*_SYMBOLIC)
+        alt = F.when(structural, F.concat(F.lit("<"), F.col("vartype"), F.lit(">"))).otherwise(alt)
+        own_record = F.when(structural, F.col("vcf_allele")).otherwise(0)
+        if "pos" in have:
+            moved = structural & (F.col("pos") + 1 != F.col("vcf_pos"))
+            df = df.withColumns({"vcf_ref": F.when(moved, "N").when(structural, F.left("vcf_ref", F.lit(1))).otherwise(F.col("vcf_ref")), "vcf_pos": F.when(moved, F.col("pos") + 1).otherwise(F.col("vcf_pos"))})
     infos = []
     for f in df.schema.fields:
         if f.name.startswith(_PREFIX):
@@ -65,7 +71,7 @@ def vcf_lines(df: DataFrame, alt_format: str = "seq", sample_name: str | None =
     listed = F.array_sort(F.collect_list(F.struct(F.col("vcf_allele").alias("o"), alt.alias("alt"), get("vartype").alias("t"), get("varlen", "long").alias("n"), get("seq").alias("s"))))
     info = F.array_join(F.array_compact(F.array(*infos)), ";") if infos else F.lit("")
     first = F.struct("vcf_allele", get("vcf_id").alias("id"), F.col("vcf_ref").alias("ref"), get("vcf_qual", "float").alias("qual"), get("filter", "array<string>").alias("filter"), info.alias("info"))
-    rows = df.groupBy("chrom", "vcf_pos", "vcf_rec").agg(listed.alias("a"), F.min_by(first, F.col("vcf_allele")).alias("r"))
+    rows = df.groupBy("chrom", "vcf_pos", "vcf_rec", own_record.alias("own")).agg(listed.alias("a"), F.min_by(first, F.col("vcf_allele")).alias("r"))
     alts = F.array_join(F.transform("a", lambda x: x["alt"]), ",")
     passed = F.when(F.col("r.filter").isNull(), ".").when(F.size("r.filter") == 0, "PASS").otherwise(F.array_join("r.filter", ";"))
     info = F.col("r.info")
