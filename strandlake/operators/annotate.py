@@ -19,9 +19,11 @@ def _named(name: str) -> str:
     return name.strip()
 
 
-def _padded(df: DataFrame, cols: CoordCol, pad: int) -> DataFrame:
+def _islands(df: DataFrame, cols: CoordCol, pad: int) -> DataFrame:
+    """The padded intervals, merged; their index is unique, which is all a join needs here."""
     chrom, pos, end = cols.columns()
-    return df.select(chrom.alias("chrom"), (pos.cast("long") - pad).alias("pos"), (end.cast("long") + pad).alias("end")).where(end >= pos)
+    padded = df.select(chrom.alias("chrom"), (pos.cast("long") - pad).alias("pos"), (end.cast("long") + pad).alias("end")).where("`end` >= pos")
+    return merge_depth(padded, col_max_depth=None, sort=False).withColumn(INDEX, F.monotonically_increasing_id())
 
 
 def as_bool(
@@ -42,8 +44,7 @@ def as_bool(
     name, cols_a, cols_b = _named(name), get_coord_cols(col_names_a), get_coord_cols(col_names_b)
     a = with_index(df_a)
     if distance >= 0:
-        b, reach = merge_depth(_padded(df_b, cols_b, distance), col_max_depth=None), 0
-        hits = pairwise_join(a, with_index(b), reach, cols_a)
+        hits = pairwise_join(a, _islands(df_b, cols_b, distance), 0, cols_a)
     else:
         hits = pairwise_join(a, df_b, distance, cols_a, cols_b)
     hit = hits.select(F.col("index_a").alias(INDEX)).distinct().withColumn("__hit", F.lit(True))
@@ -64,8 +65,7 @@ def as_proportion(
     """
     name, cols_a, cols_b = _named(name), get_coord_cols(col_names_a), get_coord_cols(col_names_b)
     a = with_index(df_a)
-    merged = with_index(merge_depth(_padded(df_b, cols_b, 0), col_max_depth=None))
-    covered = pairwise_join(a, merged, 0, cols_a).where("distance < 0").groupBy(F.col("index_a").alias(INDEX)).agg(F.sum(F.col("end") - F.col("pos")).alias("__bp"))
+    covered = pairwise_join(a, _islands(df_b, cols_b, 0), 0, cols_a).where("distance < 0").groupBy(F.col("index_a").alias(INDEX)).agg(F.sum(F.col("end") - F.col("pos")).alias("__bp"))
     chrom, pos, end = cols_a.columns()
     length = end.cast("double") - pos.cast("double")
     known = chrom.isNotNull() & pos.isNotNull() & end.isNotNull()

@@ -56,11 +56,11 @@ def melt_depth(df: DataFrame, col_names: CoordCol | tuple | str | None = None, c
     return _positions(df, cols).select(F.col("g").alias(cols.chrom), F.col("loc").alias(col_loc), F.explode(depths).alias(col_depth))
 
 
-def merge_depth(df: DataFrame, distance: int = 0, col_names: CoordCol | tuple | str | None = None, col_max_depth: str | None = "max_depth") -> DataFrame:
+def merge_depth(df: DataFrame, distance: int = 0, col_names: CoordCol | tuple | str | None = None, col_max_depth: str | None = "max_depth", *, sort: bool = True) -> DataFrame:
     """Overlapping, touching or up to ``distance`` apart intervals as one, with their largest depth.
 
     Depth is that of the intervals padded by ``distance`` (touching counts as 2).  Sorted by
-    coordinates.  ``col_max_depth=None`` leaves the depth out.  Rows with a null coordinate do not
+    coordinates unless ``sort`` says not to.  ``col_max_depth=None`` leaves the depth out.  Rows with a null coordinate do not
     count; a group of equal rows has their number as depth; an empty table gives no rows.
     """
     cols = get_coord_cols(col_names)
@@ -74,4 +74,4 @@ def merge_depth(df: DataFrame, distance: int = 0, col_names: CoordCol | tuple |
     out = [F.col("g").alias(cols.chrom), F.col("s").alias(cols.pos), F.col("e").alias(cols.end)]
     if col_max_depth is not None:
         out.append(F.col("d").alias(col_max_depth))
-    return merged.orderBy("g", "s", "e").select(*out)
+    return (merged.orderBy("g", "s", "e") if sort else merged).select(*out)

@@ -147,18 +147,21 @@ class TargetField:
         return F.when(good & (raw != "."), values), good
 
 
-def choose_target(headers: DataFrame, max_fields: int = 48) -> list[TargetField]:
+def choose_target(headers: DataFrame, max_fields: int = 48, names: DataFrame | None = None) -> list[TargetField]:
     """The ``max_fields`` fields that most files declare, each with its most frequent number and type.
 
+    ``names`` is the result of :func:`canonical_fields`, if it is there already.
+
     The bound is on columns of the table, not on data: what has no column stays in the rescue column.
     """
-    names = canonical_fields(headers).groupBy("canonical", "number", "type").agg(F.count(F.lit(1)).alias("n"))
+    names = canonical_fields(headers) if names is None else names
+    names = names.groupBy("canonical", "number", "type").agg(F.count(F.lit(1)).alias("n"))
     best = names.groupBy("canonical").agg(F.sum("n").alias("files"), F.max(F.struct("n", "number", "type")).alias("m"))
     rows = best.orderBy(F.desc("files"), "canonical").limit(max_fields).collect()
     return [TargetField(r.canonical, r.m.number, r.m.type) for r in rows]
 
 
-def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField], text: str = "info_text", keep: Sequence[str] = ("file_id", "vcf_rec")) -> DataFrame:
+def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField], text: str = "info_text", keep: Sequence[str] = ("file_id", "vcf_rec"), names: DataFrame | None = None) -> DataFrame:
     """``records`` as one typed table: the columns ``keep``, one per target field, and ``_rescued``.
 
     ``text`` holds ``KEY=VALUE;KEY;...``.  Keys are renamed to their canonical names by the header
@@ -169,7 +172,8 @@ def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField]
     repeated key counts once and its further values are rescued; a record whose file has no header
     keeps its own names; an empty table stays empty.
     """
-    names = canonical_fields(headers).where("canonical <> field_id").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "canonical"))).alias("__names"))
+    names = canonical_fields(headers) if names is None else names
+    names = names.where("canonical <> field_id").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", "canonical"))).alias("__names"))
     entries = F.transform(
         F.filter(F.split(F.coalesce(F.trim(F.col(text)), F.lit("")), ";"), lambda e: (e != "") & (e != ".")),
         lambda e: F.struct(F.substring_index(e, "=", 1).alias("field"), F.when(e.contains("="), F.regexp_replace(e, r"\A[^=]*=", "")).alias("value")),

@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from enum import Enum
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,8 @@ from strandlake.operators.overlap import PairwiseOverlap
 from strandlake.schema import VARIANT, check_columns
 from strandlake.session import stage
 
+#: Stored tables of groups that are read side by side before they are made one.
+COMPACT = 32
 _STATS = ("ro", "offset_dist", "offset_prop", "size_ro", "match_prop", "weight")
 
 
@@ -132,30 +135,29 @@ class MergeCumulative:
 
     def _merge(self, tables: list[DataFrame], columns: list[str]) -> tuple[DataFrame, DataFrame]:
         """(founders: ``_mg`` and their columns; sources: one row per entry of a group)."""
-        founders = sources = None
+        founders: list[DataFrame] = []
+        sources: list[DataFrame] = []
         n_groups = 0
         none = [F.lit(None).cast(t).alias(s) for s, t in zip(_STATS, ("float", "int", "float", "float", "float", "float"), strict=True)]
         for k, t in enumerate(tables):
             entry = [F.lit(k).alias("src_index"), F.col("_src_index").alias("var_index"), F.col("id").alias("var_id"), F.col("pos").alias("_pos")]
-            if founders is None:
-                fresh = t
-            else:
-                met = self.pairwise_join.join(founders.withColumnRenamed("_mg", INDEX), t.withColumnRenamed("_src_index", INDEX), retain_index=True)
+            fresh = t
+            if founders:
+                known = reduce(DataFrame.unionByName, founders)
+                met = self.pairwise_join.join(known.withColumnRenamed("_mg", INDEX), t.withColumnRenamed("_src_index", INDEX), retain_index=True)
                 best = stage(one_to_one(met.select("index_a", "index_b", *_STATS)), "matches")
                 joined = t.join(best.withColumnRenamed("index_b", "_src_index"), "_src_index")
-                sources = sources.unionByName(joined.select(F.col("index_a").alias("_mg"), *entry, *_STATS))
+                sources.append(stage(joined.select(F.col("index_a").alias("_mg"), *entry, *_STATS), "sources"))
                 fresh = t.join(best.select(F.col("index_b").alias("_src_index")), "_src_index", "left_anti")
-            # new groups are numbered in the order of their coordinates, so numbers are reproducible
+            # new groups are numbered in the order of their coordinates, so numbers are reproducible;
+            # the index is a stored table, so the history of a step ends here
             fresh = with_index(fresh, ["chrom", "pos", "end", "id", "_src_index"], "_nth", retain=False).withColumn("_mg", F.col("_nth") + n_groups)
-            fresh = stage(fresh, "fresh")
             n_groups += fresh.count()
-            own = fresh.select("_mg", *entry, *none)
-            new = fresh.select("_mg", *self._founder_columns(fresh, columns))
-            founders = new if founders is None else founders.unionByName(new)
-            sources = own if sources is None else sources.unionByName(own)
-            # the history of a step ends here
-            founders, sources = stage(founders, "founders"), stage(sources, "sources")
-        return founders, sources
+            sources.append(fresh.select("_mg", *entry, *none))
+            founders.append(fresh.select("_mg", *self._founder_columns(fresh, columns)))
+            if len(founders) >= COMPACT:  # plans of very many call sets stay short
+                founders, sources = ([stage(reduce(DataFrame.unionByName, x), "compact")] for x in (founders, sources))
+        return reduce(DataFrame.unionByName, founders), reduce(DataFrame.unionByName, sources)
 
     def _finish(self, sets: list[CallsetDef], tables: list[DataFrame], sources: DataFrame, order: list[str], types: dict[str, T.DataType], sort: bool, add_id: bool) -> DataFrame:
         label = F.create_map(*[F.lit(x) for i, c in enumerate(sets) for x in (i, c.name)])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import drift, row_parse
 from strandlake.operators.dense_aggregate import dense_key_aggregate, heavy_keys
 from strandlake.operators.periods import merge_periods
+from strandlake.session import stage
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +25,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     headers = spark.read.parquet(f"{d}/info_header.parquet")
-    return drift.ingest(spark.read.parquet(f"{d}/info_record.parquet"), headers, drift.choose_target(headers))
+    names = stage(drift.canonical_fields(headers), "names")
+    return drift.ingest(spark.read.parquet(f"{d}/info_record.parquet"), headers, drift.choose_target(headers, names=names), names=names)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
