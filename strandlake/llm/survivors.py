@@ -105,18 +105,17 @@ class TruthDiscovery:
         order = F.struct(missing.alias("missing"), (-F.coalesce(F.col("recency"), F.lit(-(2**62)))).alias("age"), F.coalesce(F.col("rank").cast("long"), F.lit(2**62)).alias("rank"), F.col("source"), F.col("item"))
         claims = entries.join(facts, ["source", "item"]).join(told, "source").select("group", "code", *[f"h{i}" for i in range(len(fields))], order.alias("order"))
 
-        sizes = entries.groupBy("group").count().where(F.col("count") > row_claims).select("group")
-        large = stage(sizes, "large")
-        self._none_large = large.isEmpty() and self._by_vector
+        # counted on the claims: one record may have been delivered any number of times
+        claims = stage(claims, "claims")
+        large = stage(claims.groupBy("group").count().where(F.col("count") > row_claims).select("group"), "large")
         claim = F.struct("code", *[f"h{i}" for i in range(len(fields))])
-        if self._none_large:
+        if not self._by_vector:
+            small_claims, self._long = None, claims
+        elif large.isEmpty():
             small_claims, self._long = claims, None
-        elif self._by_vector:
-            claims = stage(claims, "claims")
+        else:
             large = maybe_broadcast(large)
             small_claims, self._long = claims.join(large, "group", "left_anti"), claims.join(large, "group", "left_semi")
-        else:
-            small_claims, self._long = None, stage(claims, "claims")
         # one shuffle both gathers the claims of a group and finds its base record
         self._rows = None if small_claims is None else stage(small_claims.groupBy("group").agg(F.min("order").alias("base"), F.collect_set(claim).alias("claims")), "groups")
         self._weigh(len(names))
