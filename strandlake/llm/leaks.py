@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.tokens import small_batches
+from strandlake.llm.tokens import text_slices
 
 RUN = 20
 K1, B = 1.2, 0.75
@@ -161,7 +161,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     empty table on either side gives no rows; further columns are not read, whatever their names.
     """
     spark = documents.sparkSession
-    small_batches(spark, 512)
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{doc_text}`").alias("text"))
     wanted = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null")
     n = wanted.count()
@@ -173,9 +172,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = shared.value.search(batch.column(1).to_pylist())
-                if hits:
-                    ids = batch.column(0).take(pa.array([h[0] for h in hits]))
+                for first, end in text_slices(batch.column(1)):
+                    hits = shared.value.search(batch.column(1).slice(first, end - first).to_pylist())
+                    if not hits:
+                        continue
+                    ids = batch.column(0).take(pa.array([first + h[0] for h in hits]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], pa.int64())], names=["doc_id", "item_id"])
 
         results.append(docs.mapInArrow(scan, "doc_id long, item_id long"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.tokens import VOCABULARY, small_batches, tokenizer
+from strandlake.llm.tokens import VOCABULARY, tokenizer
 from strandlake.session import stage
 
 CAPACITY = 2048
@@ -138,7 +138,6 @@ class _Places:
 
 def token_sizes(df: DataFrame, ident: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``id, n_tokens`` of every row; a null text has 0 tokens."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.tokens import VOCABULARY, ByteTokenizer, small_batches, tokenizer
+from strandlake.llm.tokens import VOCABULARY, ByteTokenizer, tokenizer
 
 #: Boundaries of a commit, strongest last; a piece begins at the end of the match.
 _BOUNDARIES = (rb"\n", rb"\n[ \t]*\n", rb"\n(?=@@ )", rb"\n(?=diff --git |Index: |commit [0-9a-f]{7,}|From [0-9a-f]{7,}|---\n)")
@@ -131,7 +131,6 @@ def split_oversized(df: DataFrame, ident: str, text: str, rule: SplitRule | None
     is kept; an empty table gives no rows; further columns are not read.
     """
     rule = rule or SplitRule()
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern that cuts text into words before byte pairs are merged (fixed value).
@@ -39,6 +41,16 @@ def tokenizer(path: str = VOCABULARY) -> ByteTokenizer:
     return ByteTokenizer(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts can be very long: bound the rows of an Arrow batch, so that a batch fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_slices(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of rows with about ``max_bytes`` of text each; one row at least.
+
+    Spark bounds an Arrow batch by bytes; what is made of its texts in Python takes several times as
+    much, so work that gathers texts goes through a batch in runs.
+    """
+    size = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+    first = 0
+    while first < len(texts):
+        before = size[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(size, before + max_bytes, "right")))
+        yield first, end
+        first = end

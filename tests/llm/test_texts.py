@@ -155,3 +155,13 @@ def test_least_squares_finds_an_exact_fit():
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "hello world", 0, "", ""), (2, None, 0, "", ""), (3, "", 0, "", ""), (4, "<|endoftext|>", 0, "", "")], DOCS)
     assert {r.id: r.n_tokens for r in token_sizes(df, "doc_id", "text").collect()} == {1: 2, 2: 0, 3: 0, 4: 7}
+
+
+def test_text_slices_cover_every_row():
+    import pyarrow as pa
+
+    from strandlake.llm.tokens import text_slices
+
+    texts = pa.array(["a" * 10, None, "", "b" * 100, "c" * 3, "d" * 3, "e" * 4])
+    assert list(text_slices(texts, 10)) == [(0, 3), (3, 4), (4, 7)]
+    assert list(text_slices(texts.slice(3), 1000)) == [(0, 4)] and list(text_slices(texts.slice(0, 0), 10)) == []
