@@ -19,6 +19,11 @@ def _named(name: str) -> str:
     return name.strip()
 
 
+def _numbered(df: DataFrame, cols: CoordCol) -> DataFrame:
+    own = [F.col(INDEX)] if INDEX in df.columns else []
+    return with_index(df.select(*own, *cols.columns()))
+
+
 def _islands(df: DataFrame, cols: CoordCol, pad: int) -> DataFrame:
     """The padded intervals, merged; their index is unique, which is all a join needs here."""
     chrom, pos, end = cols.columns()
@@ -42,7 +47,7 @@ def as_bool(
     null coordinate has no match; no row is lost or repeated.
     """
     name, cols_a, cols_b = _named(name), get_coord_cols(col_names_a), get_coord_cols(col_names_b)
-    a = with_index(df_a)
+    a = _numbered(df_a, cols_a)
     if distance >= 0:
         hits = pairwise_join(a, _islands(df_b, cols_b, distance), 0, cols_a)
     else:
@@ -64,7 +69,7 @@ def as_proportion(
     Without a match 0; with a null coordinate null; an empty interval gives NaN.
     """
     name, cols_a, cols_b = _named(name), get_coord_cols(col_names_a), get_coord_cols(col_names_b)
-    a = with_index(df_a)
+    a = _numbered(df_a, cols_a)
     covered = pairwise_join(a, _islands(df_b, cols_b, 0), 0, cols_a).where("distance < 0").groupBy(F.col("index_a").alias(INDEX)).agg(F.sum(F.col("end") - F.col("pos")).alias("__bp"))
     chrom, pos, end = cols_a.columns()
     length = end.cast("double") - pos.cast("double")

@@ -66,8 +66,11 @@ def range_candidates(a: DataFrame, b: DataFrame, keys: list[str], low: tuple[str
 
 
 def _side(df: DataFrame, cols: CoordCol, suffix: str) -> DataFrame:
+    """Index and coordinates only: numbering stores the table once, so it must not be wide."""
     chrom, pos, end = cols.columns()
-    return with_index(df).select(F.col(INDEX).alias(f"index_{suffix}"), chrom.alias("chrom"), pos.cast("long").alias(f"pos_{suffix}"), end.cast("long").alias(f"end_{suffix}"))
+    own = [F.col(INDEX)] if INDEX in df.columns else []
+    narrow = df.select(*own, chrom.alias("chrom"), pos.cast("long").alias(f"pos_{suffix}"), end.cast("long").alias(f"end_{suffix}"))
+    return with_index(narrow).withColumnRenamed(INDEX, f"index_{suffix}")
 
 
 def pairwise_join(

@@ -247,7 +247,12 @@ class PairwiseOverlap:
 
     def _prepared(self, df: DataFrame, suffix: str, retain_index: bool) -> DataFrame:
         check_columns(df, self.required_cols, f"table {suffix}")
-        df = with_index(df.drop("_end_ro"), retain=retain_index)
+        df = df.drop("_end_ro")
+        extras = [x for s in self.stages for x in (*s.join_predicates, *s.join_filters)] + list(self.join_cols)
+        if not extras:  # numbering stores the table once, so only what is read should be in it
+            known = self.required_cols | {INDEX, "varlen", "id"}
+            df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in known])
+        df = with_index(df, retain=retain_index)
         df = to_variant(df)
         if "varlen" not in df.columns:
             df = df.withColumn("varlen", F.col("end") - F.col("pos"))

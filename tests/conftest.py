@@ -7,6 +7,8 @@ def spark():
     s = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "4")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables are tiny: compiling would take most of the time
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
