@@ -9,6 +9,7 @@ from strandlake.coords import CoordCol, get_coord_cols
 from strandlake.operators.depth import merge_depth
 from strandlake.operators.indexing import INDEX, with_index
 from strandlake.operators.interval_join import pairwise_join
+from strandlake.session import stage
 
 
 def _named(name: str) -> str:
@@ -25,10 +26,13 @@ def _numbered(df: DataFrame, cols: CoordCol) -> DataFrame:
 
 
 def _islands(df: DataFrame, cols: CoordCol, pad: int) -> DataFrame:
-    """The padded intervals, merged; their index is unique, which is all a join needs here."""
+    """The padded intervals, merged and stored, as the join looks at them several times.
+
+    Their index is unique, which is all a join needs here.
+    """
     chrom, pos, end = cols.columns()
     padded = df.select(chrom.alias("chrom"), (pos.cast("long") - pad).alias("pos"), (end.cast("long") + pad).alias("end")).where("`end` >= pos")
-    return merge_depth(padded, col_max_depth=None, sort=False).withColumn(INDEX, F.monotonically_increasing_id())
+    return stage(merge_depth(padded, col_max_depth=None, sort=False).withColumn(INDEX, F.monotonically_increasing_id()), "islands")
 
 
 def as_bool(
