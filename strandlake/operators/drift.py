@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.neighbours import with_next
-from strandlake.session import stage
+from strandlake.session import maybe_broadcast, stage
 
 RESCUED = "_rescued"
+PROMOTED = "_promoted"
 _ENTRY = "array<struct<field:string,value:string>>"
 
 
@@ -147,26 +148,35 @@ class TargetField:
         return F.when(good & (raw != "."), values), good
 
 
+def target_fields(names: DataFrame) -> DataFrame:
+    """``canonical, number, type, files``: every field of the one table with its most frequent declaration.
+
+    ``names`` is the result of :func:`canonical_fields`.
+    """
+    counts = names.groupBy("canonical", "number", "type").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("canonical").agg(F.sum("n").alias("files"), F.max(F.struct("n", "number", "type")).alias("m"))
+    return best.select("canonical", "m.number", "m.type", "files")
+
+
 def choose_target(headers: DataFrame, max_fields: int = 48, names: DataFrame | None = None) -> list[TargetField]:
     """The ``max_fields`` fields that most files declare, each with its most frequent number and type.
 
     ``names`` is the result of :func:`canonical_fields`, if it is there already.
 
-    The bound is on columns of the table, not on data: what has no column stays in the rescue column.
+    The bound is on columns of the table, not on data: :func:`promote_all` types the fields beyond it.
     """
     names = canonical_fields(headers) if names is None else names
-    names = names.groupBy("canonical", "number", "type").agg(F.count(F.lit(1)).alias("n"))
-    best = names.groupBy("canonical").agg(F.sum("n").alias("files"), F.max(F.struct("n", "number", "type")).alias("m"))
-    rows = best.orderBy(F.desc("files"), "canonical").limit(max_fields).collect()
-    return [TargetField(r.canonical, r.m.number, r.m.type) for r in rows]
+    rows = target_fields(names).orderBy(F.desc("files"), "canonical").limit(max_fields).collect()
+    return [TargetField(r.canonical, r.number, r.type) for r in rows]
 
 
-def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField], text: str = "info_text", keep: Sequence[str] = ("file_id", "vcf_rec"), names: DataFrame | None = None) -> DataFrame:
+def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField], text: str = "info_text", keep: Sequence[str] = ("file_id", "vcf_rec"), names: DataFrame | None = None, fitted: str | None = None) -> DataFrame:
     """``records`` as one typed table: the columns ``keep``, one per target field, and ``_rescued``.
 
     ``text`` holds ``KEY=VALUE;KEY;...``.  Keys are renamed to their canonical names by the header
     of the record's file, then cast to the target.  ``_rescued`` is a JSON list of the entries that
-    are unknown or do not fit (null if there are none), so nothing is lost.
+    are unknown or do not fit (null if there are none), so nothing is lost.  ``fitted`` names a column
+    for the fields that were taken, if it is wanted.
 
     Defined cases: a null, blank or ``.`` text is a record without fields; ``.`` is a null value; a
     repeated key counts once and its further values are rescued; a record whose file has no header
@@ -180,14 +190,14 @@ def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField]
     )
     rows = records.select(*keep, F.col("file_id").alias("__file"), entries.alias("__raw")).join(names.withColumnRenamed("file_id", "__file"), "__file", "left")
     renamed = F.transform("__raw", lambda e: F.struct(F.coalesce(F.try_element_at("__names", e["field"]), e["field"]).alias("field"), e["value"].alias("value")))
-    return _fit(rows.select(*keep, renamed.alias("__all")), target, "__all", keep)
+    return _fit(rows.select(*keep, renamed.alias("__all")), target, "__all", keep, fitted)
 
 
 def _named(name: str) -> Callable[[Column], Column]:
     return lambda e: e["field"] == name
 
 
-def _fit(df: DataFrame, target: Sequence[TargetField], entries: str, keep: Sequence[str]) -> DataFrame:
+def _fit(df: DataFrame, target: Sequence[TargetField], entries: str, keep: Sequence[str], fitted_as: str | None = None) -> DataFrame:
     """Moves entries into typed columns; what does not fit goes (back) to the rescue column."""
     columns, taken = [], []
     for t in target:
@@ -200,7 +210,8 @@ def _fit(df: DataFrame, target: Sequence[TargetField], entries: str, keep: Seque
     # an entry stays if its field did not fit, or if an earlier entry of the field was taken
     rest = F.filter(entries, lambda e, i: ~F.array_contains("__fitted", e["field"]) | F.exists(F.slice(entries, 1, i), lambda b: b["field"] == e["field"]))
     out = df.select(*[F.col(f"`{c}`") for c in keep], *columns, F.col(entries), fitted.alias("__fitted"))
-    return out.withColumn(RESCUED, F.when(F.size(rest) > 0, F.to_json(rest))).drop(entries, "__fitted")
+    out = out.withColumn(RESCUED, F.when(F.size(rest) > 0, F.to_json(rest))).drop(entries)
+    return out.withColumnRenamed("__fitted", fitted_as) if fitted_as else out.drop("__fitted")
 
 
 def promote(table: DataFrame, fields: Sequence[TargetField]) -> DataFrame:
@@ -216,6 +227,62 @@ def promote(table: DataFrame, fields: Sequence[TargetField]) -> DataFrame:
     return _fit(table.withColumn("__all", entries), fields, "__all", keep)
 
 
+_KINDS = {"integers": "Integer", "floats": "Float", "flag": "Flag", "strings": "String"}
+
+
+def _any_typed(raw: Column, number: Column, kind: Column) -> tuple[Column, Column]:
+    """:meth:`TargetField.typed` for a declaration that differs from row to row; scalars are lists of one."""
+    scalar, values, good = number.isin("0", "1"), [], F.lit(False)
+    for name, t in _KINDS.items():
+        is_kind = ~kind.isin("Integer", "Float", "Flag") if t == "String" else kind == t
+        one, one_good = TargetField("", "1", t).typed(raw)
+        many, many_good = TargetField("", ".", t).typed(raw)
+        value = one if t == "Flag" else F.when(scalar & one.isNotNull(), F.array(one)).when(~scalar, many)
+        values.append(F.when(is_kind, value).alias(name))
+        good = F.when(is_kind, F.when(scalar, one_good).otherwise(many_good)).otherwise(good)
+    return F.struct(number.alias("number"), kind.alias("type"), *values), F.coalesce(good, F.lit(False))
+
+
+def promote_all(table: DataFrame, names: DataFrame, fitted: str | None = None) -> DataFrame:
+    """``table`` with every declared field that is rescued in one typed map, replayed from ``_rescued``.
+
+    ``names`` is the result of :func:`canonical_fields`; ``table`` needs ``file_id``.  The map
+    ``_promoted`` (null if it has no entry) leads from a field to ``number, type, integers, floats,
+    flag, strings``, of which the one of its type is set: a list, of one value where ``number`` is 0
+    or 1, or null for ``.``.  A value has the field's most frequent declaration if it fits, else that
+    of its own file (of two fields of a file with one name, the one that had it already).  However
+    many fields there are, the plan stays the same: entries meet their declarations in joins.
+
+    ``fitted`` names the column of fields that :func:`ingest` has taken; it is dropped.  With it,
+    values that did not fit a column are replayed too, without it only fields that are no column.
+
+    Defined cases are those of :func:`promote`: values that fit no declaration, further values of a
+    repeated key and undeclared fields stay rescued, in their order.
+    """
+    rows = stage(table.withColumn("__row", F.monotonically_increasing_id()), "rescued")
+    own = [c for c in table.columns if c not in (RESCUED, PROMOTED, fitted)]
+    target = maybe_broadcast(target_fields(names).select(F.col("canonical").alias("field"), "number", "type"))
+    local = names.groupBy("file_id", F.col("canonical").alias("field")).agg(F.min(F.struct(F.col("canonical") != F.col("field_id"), "number", "type")).alias("m"))
+    local = maybe_broadcast(local.select("file_id", "field", F.col("m.number").alias("own_number"), F.col("m.type").alias("own_type")))
+    before = F.col(f"`{fitted}`") if fitted else F.array(*[F.lit(c) for c in own]).cast("array<string>")
+    entries = rows.where(F.col(RESCUED).isNotNull()).select("__row", "file_id", before.alias("before"), F.posexplode(F.from_json(RESCUED, _ENTRY)).alias("at", "e"))
+    entries = entries.select("__row", "file_id", "at", "e.field", "e.value", F.array_contains("before", F.col("e.field")).alias("is_before"))
+    judged = entries.join(target, "field", "left").join(local, ["file_id", "field"], "left")
+    typed, good = _any_typed(F.col("value"), F.col("number"), F.col("type"))
+    own_typed, own_good = _any_typed(F.col("value"), F.col("own_number"), F.col("own_type"))
+    judged = judged.select("__row", F.struct("at", "field", "value", (~F.col("is_before") & (good | own_good)).alias("good"), F.when(good, typed).otherwise(own_typed).alias("typed")).alias("e"))
+    lists = judged.groupBy("__row").agg(F.array_sort(F.collect_list("e"), lambda a, b: a["at"] - b["at"]).alias("__all"))
+    # as in _fit: the first entry of a field is taken if it fits
+    taken = lambda e, i: e["good"] & ~F.exists(F.slice("__all", 1, i), lambda b: b["field"] == e["field"])
+    lists = lists.select("__row", F.filter("__all", taken).alias("__taken"), F.filter("__all", lambda e, i: ~taken(e, i)).alias("__rest"))
+    lists = lists.select(
+        "__row",
+        F.when(F.size("__taken") > 0, F.map_from_entries(F.transform("__taken", lambda e: F.struct(e["field"], e["typed"])))).alias(PROMOTED),
+        F.when(F.size("__rest") > 0, F.to_json(F.transform("__rest", lambda e: F.struct(e["field"].alias("field"), e["value"].alias("value"))))).alias(RESCUED),
+    )
+    return rows.select("__row", *[F.col(f"`{c}`") for c in own]).join(lists, "__row", "left").select(*[F.col(f"`{c}`") for c in own], PROMOTED, RESCUED)
+
+
 def report_counts(changes: DataFrame) -> Mapping[str, int]:
     """How often each kind of change occurs (five kinds, so the result is bounded)."""
     return {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}

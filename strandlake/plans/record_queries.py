@@ -26,7 +26,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     headers = spark.read.parquet(f"{d}/info_header.parquet")
     names = stage(drift.canonical_fields(headers), "names")
-    return drift.ingest(spark.read.parquet(f"{d}/info_record.parquet"), headers, drift.choose_target(headers, names=names), names=names)
+    table = drift.ingest(spark.read.parquet(f"{d}/info_record.parquet"), headers, drift.choose_target(headers, names=names), names=names, fitted="_fitted")
+    return drift.promote_all(table, names, "_fitted")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

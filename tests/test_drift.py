@@ -1,6 +1,6 @@
 import json
 
-from strandlake.operators.drift import TargetField, canonical_fields, ingest, promote, schema_changes
+from strandlake.operators.drift import TargetField, canonical_fields, choose_target, ingest, promote, promote_all, schema_changes
 from strandlake.operators.neighbours import with_next
 
 from .conftest import rows
@@ -61,3 +61,37 @@ def test_ingest_rescue_and_replay(spark):
     promoted = {(r.file_id, r.vcf_rec): (r.X, json.loads(r["_rescued"] or "[]")) for r in promote(table, [TargetField("X", "1", "Integer")]).collect()}
     assert promoted[1, 0] == (7, [{"field": "X", "value": "8"}]) and promoted[2, 0][0] is None
     assert ingest(records.limit(0), df, target).collect() == []
+
+
+def test_fields_beyond_the_columns_are_typed_as_well(spark):
+    kinds = [("1", "Integer"), (".", "Float"), ("0", "Flag"), ("1", "String"), ("2", "Character")]
+    df = header(spark, *[(1, "p", 1, i, f"F{i:02}", *kinds[i % 5], f"d{i}") for i in range(60)])
+    texts = [";".join(f"F{i:02}" + ("" if i % 5 == 2 else "=7") for i in range(60)), "F58=a;F57=1;F55=x;F56=1.5,.;F55=3;F59=.;U=1;F00=no", "F50=4;F50=5;F50=x", None, "F52;F53=.;F51=a"]
+    records = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "file_id long, vcf_rec long, info_text string")
+    target = choose_target(df)
+    table = promote_all(ingest(records, df, target), canonical_fields(df))
+    assert len(target) == 48 and table.columns == ["file_id", "vcf_rec", *[t.name for t in target], "_promoted", "_rescued"]
+    got = {r.vcf_rec: r for r in table.collect()}
+    value = lambda x: next((v for v in (x.integers, x.floats, x.flag, x.strings) if v is not None), None)
+    promoted = {k: {f: (x.type, value(x)) for f, x in (r["_promoted"] or {}).items()} for k, r in got.items()}
+    rescued = {k: [(e["field"], e.get("value")) for e in json.loads(r["_rescued"] or "[]")] for k, r in got.items()}
+    sevens = {"Integer": [7], "Float": [7.0], "Flag": True, "String": ["7"], "Character": ["7"]}
+    assert promoted[0] == {f"F{i}": (kinds[i % 5][1], sevens[kinds[i % 5][1]]) for i in range(48, 60)} and rescued[0] == []
+    assert promoted[1] == {"F58": ("String", ["a"]), "F56": ("Float", [1.5, None]), "F59": ("Character", None)}
+    assert rescued[1] == [("F57", "1"), ("F55", "x"), ("F55", "3"), ("U", "1"), ("F00", "no")]
+    assert promoted[2] == {"F50": ("Integer", [4])} and rescued[2] == [("F50", "5"), ("F50", "x")]
+    assert promoted[3] == {} and rescued[3] == [] and got[3]["F00"] is None
+    assert promoted[4] == {"F52": ("Flag", True), "F53": ("String", None)} and rescued[4] == [("F51", "a")]
+    assert promote_all(ingest(records.limit(0), df, target), canonical_fields(df)).collect() == []
+
+
+def test_values_are_typed_by_their_own_file_where_the_column_is_of_another_type(spark):
+    df = header(spark, (1, "p", 1, 1, "A", "1", "Integer", "a"), (2, "p", 2, 1, "A", "1", "Integer", "a"), (3, "p", 3, 1, "A", "2", "Float", "a"))
+    texts = [(3, 0, "A=1.5,2"), (3, 1, "A=7;A=1.5"), (3, 2, "A=.;A=1.5"), (1, 3, "A=1.5"), (9, 4, "A=1.5"), (3, 5, "A=x")]
+    records = spark.createDataFrame(texts, "file_id long, vcf_rec long, info_text string")
+    table = ingest(records, df, choose_target(df), fitted="_fitted")
+    got = {r.vcf_rec: (r.A, r["_promoted"], r["_rescued"]) for r in promote_all(table, canonical_fields(df), "_fitted").collect()}
+    a, promoted, rescued = got.pop(0)
+    assert (a, promoted["A"].type, promoted["A"].floats, rescued) == (None, "Float", [1.5, 2.0], None)
+    left = lambda v: f'[{{"field":"A","value":"{v}"}}]'
+    assert got == {1: (7, None, left("1.5")), 2: (None, None, left("1.5")), 3: (None, None, left("1.5")), 4: (None, None, left("1.5")), 5: (None, None, left("x"))}
