@@ -180,13 +180,16 @@ union all select id, chrom, pos, e, 1, 0, 'b', idx, null from b where idx not in
 
 
 def cumulative_merge_callers(spark: SparkSession, d: str) -> DataFrame:
-    """The calls of each calling program are a call set; programs are merged in the order of their names."""
-    calls = spark.read.parquet(f"{d}/variant_calls.parquet").where("chrom is not null").withColumn("_index", F.col("call_id"))
+    """The calls of each calling program are a call set; programs are merged in the order of their names.
+
+    Calls without a source are a call set of their own, the last; calls without a coordinate found groups.
+    """
+    calls = spark.read.parquet(f"{d}/variant_calls.parquet").withColumn("_index", F.col("call_id"))
     caller = F.substring_index("src_name", "-", 1)
-    names = sorted(r[0] for r in calls.select(caller).where("src_name is not null").distinct().collect())  # a few programs
+    names = sorted((r[0] for r in calls.select(caller).distinct().collect()), key=lambda n: (n is None, n))  # a few programs
     columns = ["_index", "chrom", "pos", "end", "id", "vartype", "varlen", "filter", "seq"]
     join = PairwiseOverlap(({"ro_min": 0.8, "match_vartype": True},))
-    merged = MergeCumulative(join)([(calls.where(caller == n).select(*columns), n) for n in names], retain_index=True, sort=False)
+    merged = MergeCumulative(join)([(calls.where(caller.eqNullSafe(F.lit(n))).select(*columns), n) for n in names], retain_index=True, sort=False)
     return merged.select("chrom", "pos", "end", "id", "vartype", F.size("mg_src").alias("n_src"), "mg_src_lead")
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from strandlake.operators.merge import CallsetDef, LeadStrategy, MergeCumulative, normalize_callsets
 from strandlake.operators.overlap import PairwiseOverlap
+from strandlake.plans.interval_queries import cumulative_merge_callers
 from strandlake.plans.strategy import MergeStrategy, Spec
 
 SCHEMA = "chrom string, pos long, `end` long, id string"
@@ -81,6 +82,15 @@ def test_columns_lengths_and_filters(spark):
     assert MergeCumulative(JOIN)([a.limit(0), b.limit(0)]).collect() == []
 
 
+def test_every_call_of_the_callers_stands_in_one_group(spark, tmp_path):
+    calls = [(0, "A-1", "c", 10), (1, "B-1", "c", 10), (2, "A-2", None, 10), (3, "B-2", None, 10), (4, None, "c", 10), (5, None, "d", 10), (6, None, None, None)]
+    rows = [(i, src, c, p, p and p + 9, f"i{i}", "DEL", 9, [], "ACGT") for i, src, c, p in calls]
+    schema = "call_id long, src_name string, chrom string, pos long, `end` long, id string, vartype string, varlen long, filter array<string>, seq string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/variant_calls.parquet")
+    got = cumulative_merge_callers(spark, str(tmp_path)).collect()
+    assert sorted((r.chrom or "", r.n_src) for r in got) == [("", 1), ("", 1), ("", 1), ("c", 3), ("d", 1)]
+
+
 def test_definitions(spark):
     df = frames(spark, [])[0]
     names = [c.name for c in normalize_callsets([df, (df,), (df, "x"), (df, "x", {}), (df, None), CallsetDef(df, "x")])]
