@@ -39,13 +39,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return row_parse.rejected_rows(lines, "raw_line", row_parse.IGNORED_ROW).select("line_id", F.col("reject_reason").alias("reason"))
 
 
+def p7_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p7_found with the first field at which each stops being valid."""
+    lines = spark.read.parquet(f"{d}/ignored_line.parquet")
+    return row_parse.rejected_rows(lines, "raw_line", row_parse.IGNORED_ROW).select("line_id", F.col("reject_reason").alias("reason"), F.col("reject_field").alias("field"))
+
+
 def p7_loaded(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.read.parquet(f"{d}/ignored_line.parquet")
     rows = row_parse.load_rows(lines, "raw_line", row_parse.IGNORED_ROW, ["line_id", "file_id"])
     return rows.withColumn("filter", F.array_join("filter", ";")).withColumn("vcf_qual", F.col("vcf_qual").cast("double"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_chrom_summary, p2_found, p2_table, p3_found, p7_found, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_chrom_summary, p2_found, p2_table, p3_found, p7_found, p7_rejected, p7_loaded)}
 
 _NUM = r"case when trim(number) in ('A','R','G','.') then trim(number) when regexp_full_match(trim(number), '[0-9]+') then regexp_replace(trim(number), '^0+([0-9])', '\1') else '.' end"
 _QUOTED = r'"[^"]*(?:""[^"]*)*"'

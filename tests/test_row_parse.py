@@ -2,6 +2,7 @@ import random
 import re
 
 from strandlake.operators.row_parse import IGNORED_ROW, classify_rows, digits_up_to, load_rows, rejected_rows
+from strandlake.plans import record_queries
 
 GOOD = 'c,q1;q2,BND,"a ""b"", c",12,id,A,"<X>",1.5,3,1'
 
@@ -56,6 +57,13 @@ def test_first_broken_field(spark):
     assert [(g.reject_reason, g.reject_field) for g in got] == [("value", "vartype"), ("value", "vcf_pos"), ("columns", None), ("columns", "filter")]
 
 
+def test_the_query_of_rejected_rows_names_the_broken_field(spark, tmp_path):
+    lines = [GOOD, GOOD.replace(",12,", ",x,"), GOOD + ",more", None, GOOD.replace("BND", 'B"D')]
+    spark.createDataFrame(list(enumerate(lines)), "line_id long, raw_line string").write.parquet(f"{tmp_path}/ignored_line.parquet")
+    got = record_queries.QUERIES["p7_rejected"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "value", "vcf_pos"), (2, "columns", None), (3, "columns", "chrom"), (4, "quoting", "vartype")]
+
+
 def test_loaded_values_and_clashing_columns(spark):
     df = spark.createDataFrame([(GOOD, "x", "y"), (GOOD, "x", "y"), ("bad", "x", "y")], "line string, __cells string, chrom string")
     got = load_rows(df, "line", IGNORED_ROW).collect()
