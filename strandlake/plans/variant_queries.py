@@ -63,7 +63,7 @@ def kmer_minimizer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _calls(spark, d).where("length(seq) > 20").select("call_id", F.upper("seq").alias("a"), F.concat(F.substring(F.upper("seq"), 5, 1_000_000), F.lit("ACGTACGTACGT")).alias("b"))
+    pairs = _calls(spark, d).where("length(seq) > 20").select("call_id", F.upper("seq").alias("a"), F.concat(F.substring(F.upper("seq"), F.lit(5), F.length("seq")), F.lit("ACGTACGTACGT")).alias("b"))
     return K.kmer_jaccard_pairs(pairs, "call_id", "a", "b", 9)
 
 
@@ -127,7 +127,7 @@ def fasta_info(spark: SparkSession, d: str) -> DataFrame:
     """Each part's name as a FASTA record, with its index."""
     part = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("n"), F.regexp_replace("p_name", r"\s", "").alias("s"))
     path = f"{shared_dir(spark).rstrip('/')}/fasta-{uuid.uuid4().hex}"
-    part.select(F.concat(F.lit(">"), "n", F.lit(" x\n"), F.substring("s", 1, 5), F.lit("\n"), F.substring("s", 6, 10_000)).alias("value")).coalesce(1).write.text(f"{path}/fa")
+    part.select(F.concat(F.lit(">"), "n", F.lit(" x\n"), F.substring("s", 1, 5), F.lit("\n"), F.substring("s", F.lit(6), F.length("s"))).alias("value")).coalesce(1).write.text(f"{path}/fa")
     part.select(F.concat_ws("\t", "n", F.length("s").cast("string"), F.lit("0"), F.lit("5"), F.lit("6")).alias("value")).coalesce(1).write.text(f"{path}/fai")
     return fa_info(spark, f"{path}/fa", f"{path}/fai").select("chrom", "len", "md5")
 
