@@ -22,15 +22,19 @@ def brute(data):
 
 def test_matches_brute_force_whatever_the_block(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(7)
-    for args in ({}, {"block": 2, "fan_in": 2}, {"block": 1}):
+    for args in ({}, {"task_entries": 2, "fan_in": 2}, {"task_entries": 1}, {"fan_in": 1}):
         got = {r[0]: tuple(r)[1:] for r in dense_key_aggregate(df, "k", ["v", "w"], **args).collect()}
         assert got == brute(ROWS)
 
 
-def test_large_dictionaries_take_the_other_way(spark):
-    data = [r for r in ROWS if r[1] != 2**62]
-    got = {r[0]: tuple(r)[1:] for r in dense_key_aggregate(spark.createDataFrame(data, SCHEMA), "k", ["v", "w"], max_keys=2).collect()}
-    assert got == brute(data)
+def test_more_keys_than_a_split_holds(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    for args in ({"split_keys": 0}, {"split_keys": 2, "task_entries": 2}, {"split_key_bytes": 1, "fan_in": 2}):
+        got = {r[0]: tuple(r)[1:] for r in dense_key_aggregate(df, "k", ["v", "w"], **args).collect()}
+        assert got == brute(ROWS)
+    many = [(f"k{i % 5000}", i, None, 0, "") for i in range(12_000)]
+    got = {r[0]: tuple(r)[1:] for r in dense_key_aggregate(spark.createDataFrame(many, SCHEMA), "k", ["v", "w"], split_keys=700, task_entries=900).collect()}
+    assert got == brute(many)
 
 
 def test_empty_and_all_null(spark):
@@ -40,8 +44,10 @@ def test_empty_and_all_null(spark):
 
 
 def test_nan_spreads(spark):
-    got = dense_key_aggregate(spark.createDataFrame([("a", 1, math.nan, 1, ""), ("a", 1, 2.0, 1, "")], SCHEMA), "k", ["w"]).first()
-    assert got["w_n"] == 2 and math.isnan(got["w_sum"])
+    df = spark.createDataFrame([("a", 1, math.nan, 1, ""), ("a", 1, 2.0, 1, ""), ("a", 1, 1.0, 1, "")], SCHEMA).repartition(3)
+    for args in ({}, {"split_keys": 0}, {"fan_in": 1}):
+        got = dense_key_aggregate(df, "k", ["w"], **args).first()
+        assert got["w_n"] == 3 and math.isnan(got["w_sum"]) and math.isnan(got["w_min"]) and math.isnan(got["w_max"])
 
 
 def test_heavy_keys_is_strict_and_counts_nulls_as_rows(spark):
