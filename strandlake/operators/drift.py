@@ -6,15 +6,16 @@ rescued values.
 
 The same step finds the changes: the schema in force for a file is what the file before it in its
 pipeline declared.  Enforcing it on the file's own declarations leaves a rescued remainder - unknown
-fields, fields that do not fit, fields that are gone - and every report row is one of those.
+fields, fields that do not fit, fields that are gone - and replaying the remainder gives the report.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.neighbours import with_next
@@ -23,6 +24,8 @@ from strandlake.session import maybe_broadcast, stage
 RESCUED = "_rescued"
 PROMOTED = "_promoted"
 _ENTRY = "array<struct<field:string,value:string>>"
+_SPEC = "struct<field_id:string,number:string,type:string,description:string>"
+_DECLARED = f"struct<new:{_SPEC},old:{_SPEC}>"
 
 
 def normal_number(number: Column) -> Column:
@@ -55,8 +58,8 @@ def _files(headers: DataFrame) -> DataFrame:
 def enforce_declared(headers: DataFrame) -> DataFrame:
     """What is rescued when each file's declarations are read under the schema of the file before.
 
-    One row per (file_id, field_id) that differs: ``new`` and ``old`` declarations (structs, null
-    where the field is absent) and ``_rescued``, the same as JSON.  Both sides meet in one grouping
+    One row per (file_id, field_id) that differs, with ``_rescued``: the ``new`` and the ``old``
+    declaration as JSON, each left out where the field is absent.  Both sides meet in one grouping
     by (file_id, field_id), so neither a long pipeline nor a common field makes a hot group.
     """
     declared, files = declared_fields(headers), _files(headers)
@@ -69,15 +72,34 @@ def enforce_declared(headers: DataFrame) -> DataFrame:
     )
     met = both.select("field_id", F.explode(sides).alias("x")).where("x.at is not null").groupBy(F.col("x.at").alias("file_id"), "field_id").agg(F.max("x.new").alias("new"), F.max("x.old").alias("old"))
     rest = met.where("new is null or old is null or new.number <> old.number or new.type <> old.type")
-    return rest.withColumn(RESCUED, F.to_json(F.struct("new", "old")))
+    return rest.select("file_id", "field_id", F.to_json(F.struct("new", "old")).alias(RESCUED))
 
 
-def schema_changes(headers: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class _Replayed:
+    """The rescued remainders of all files, read back: fields that are new, gone, or differ."""
+
+    fresh: DataFrame
+    gone: DataFrame
+    kept: DataFrame
+
+    @classmethod
+    def of(cls, rescued: DataFrame) -> _Replayed:
+        rest = rescued.withColumn("__r", F.from_json(RESCUED, _DECLARED)).select("file_id", "field_id", RESCUED, F.col("__r.new").alias("new"), F.col("__r.old").alias("old"))
+        gone = rest.where("new is null").select("file_id", "field_id", "old", RESCUED, F.col("old.description").alias("description"))
+        # of several fields that have gone with one description the smallest id is the predecessor
+        before = gone.where("description is not null").groupBy("file_id", "description").agg(F.min("old").alias("was"))
+        fresh = rest.where("old is null").select("file_id", "field_id", "new", RESCUED, F.col("new.description").alias("description")).join(before, ["file_id", "description"], "left")
+        return cls(fresh, gone, rest.where("new is not null and old is not null"))
+
+
+def schema_changes(headers: DataFrame, rescued: DataFrame | None = None) -> DataFrame:
     """``file_id, field_id, change, _rescued``: each change of a file against the one before it.
 
     ``change`` is ``added``, ``removed``, ``renamed``, ``number`` or ``type``.  A field absent
     before is ``renamed`` if its non-null description is that of a field that has gone (of several,
     the smallest id is its predecessor); number and type are compared with the predecessor's.
+    ``rescued`` is the (stored) result of :func:`enforce_declared`, if it is there already.
 
     ``headers`` needs file_id, pipeline, file_no, line_no, id, number, type, description.
     Defined cases: null number and type count as ``.`` and ``String``; a null description renames
@@ -85,42 +107,69 @@ def schema_changes(headers: DataFrame) -> DataFrame:
     the first file of a pipeline has no changes; repeated lines change nothing; no lines, no rows;
     further columns are not read.
     """
-    rest = stage(enforce_declared(headers), "drift")
-    fresh = rest.where("old is null").select("file_id", "field_id", "new", RESCUED, F.col("new.description").alias("description"))
-    gone = rest.where("new is null").select("file_id", "field_id", "old", RESCUED, F.col("old.description").alias("description"))
-    before = gone.where("description is not null").groupBy("file_id", "description").agg(F.min("old").alias("was"))
-    after = fresh.where("description is not null").select("file_id", "description").distinct()
-    fresh = fresh.join(before, ["file_id", "description"], "left")
+    r = _Replayed.of(stage(enforce_declared(headers), "drift") if rescued is None else rescued)
+    after = r.fresh.where("description is not null").select("file_id", "description").distinct()
     differs = lambda a, b, what: F.when(F.col(f"{a}.{what}") != F.col(f"{b}.{what}"), F.lit(what))
-    per_fresh = fresh.select("file_id", "field_id", RESCUED, F.array_compact(F.array(F.when(F.col("was").isNull(), "added").otherwise("renamed"), differs("new", "was", "number"), differs("new", "was", "type"))).alias("c"))
-    per_gone = gone.join(after, ["file_id", "description"], "left_anti").select("file_id", "field_id", RESCUED, F.array(F.lit("removed")).alias("c"))
-    per_kept = rest.where("new is not null and old is not null").select("file_id", "field_id", RESCUED, F.array_compact(F.array(differs("new", "old", "number"), differs("new", "old", "type"))).alias("c"))
+    per_fresh = r.fresh.select("file_id", "field_id", RESCUED, F.array_compact(F.array(F.when(F.col("was").isNull(), "added").otherwise("renamed"), differs("new", "was", "number"), differs("new", "was", "type"))).alias("c"))
+    per_gone = r.gone.join(after, ["file_id", "description"], "left_anti").select("file_id", "field_id", RESCUED, F.array(F.lit("removed")).alias("c"))
+    per_kept = r.kept.select("file_id", "field_id", RESCUED, F.array_compact(F.array(differs("new", "old", "number"), differs("new", "old", "type"))).alias("c"))
     return per_fresh.unionByName(per_gone).unionByName(per_kept).select("file_id", "field_id", F.explode("c").alias("change"), RESCUED)
 
 
-def canonical_fields(headers: DataFrame, max_rounds: int = 16) -> DataFrame:
+def _next_rename(asked: DataFrame, renames: DataFrame, step: int = 1024) -> DataFrame:
+    """``asked`` with ``next_file``: the first file after its own, in its pipeline, that renames its field.
+
+    Both have pipeline, field_id, file_no, file_id.  Rows are sorted within ranges of ``step`` file
+    numbers; across ranges one row per range is looked at.
+    """
+    tile = F.coalesce(F.floor(F.col("file_no") / F.lit(step)).cast("long"), F.lit(-(2**62))).alias("tile")
+    keys, place = ["pipeline", "field_id"], ["file_no", "file_id"]
+    own = [c for c in asked.columns if c not in (*keys, *place)]
+    kept = F.struct(*[F.col(c) for c in own]) if own else F.struct(F.lit(1).alias("one"))
+    rows = asked.select(*keys, *place, tile, F.lit(False).alias("is_rename"), kept.alias("own"))
+    rows = rows.unionByName(renames.select(*keys, *place, tile, F.lit(True).alias("is_rename")), allowMissingColumns=True)
+    renamed = F.when(F.col("is_rename"), F.col("file_id"))
+    # backwards, so that what comes before a row is what is later; a file's own renames come after it
+    back = [F.col("file_no").desc_nulls_last(), F.col("file_id").desc(), F.col("is_rename")]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("in_tile", F.last(renamed, True).over(before(Window.partitionBy(*keys, "tile").orderBy(*back))))
+    heads = renames.select(*keys, *place, tile).groupBy(*keys, "tile").agg(F.min(F.struct(*place)).getField("file_id").alias("head"))
+    tiles = rows.groupBy(*keys, "tile").agg(F.lit(0).alias("z")).drop("z")
+    null_safe = lambda a, b, names: reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+    across = tiles.join(heads, null_safe(tiles, heads, [*keys, "tile"]), "left").select(*[tiles[c] for c in (*keys, "tile")], "head")
+    across = across.withColumn("later", F.last("head", True).over(before(Window.partitionBy(*keys).orderBy(F.col("tile").desc()))))
+    across = across.select(*[F.col(c).alias(f"__{c}") for c in (*keys, "tile")], "later")
+    rows = rows.where("not is_rename").join(across, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, "tile")]))
+    return rows.select(*keys, *place, *[F.col(f"own.{c}").alias(c) for c in own], F.coalesce("in_tile", "later").alias("next_file"))
+
+
+def canonical_fields(headers: DataFrame) -> DataFrame:
     """``file_id, field_id, canonical, number, type``: the name a field of a file has in the one table.
 
-    A field takes the last name of its chain of renames within its pipeline.  Of several renames of
-    one id the latest counts; a chain only goes on to later files, so it ends, and ``max_rounds``
-    pointer-doubling rounds follow chains of up to 2**max_rounds renames.
+    A field of a file takes the name that the first later file of its pipeline to rename it gives it,
+    then that name's own next rename, and so on to the last.  Where a file gives one field two names,
+    the smaller counts.  A chain only goes on to later files, so it ends, and pointer doubling follows
+    it in as many rounds as its length has binary digits.  A null pipeline is a pipeline.
     """
-    declared, files = declared_fields(headers), _files(headers)
-    renamed = schema_changes(headers).where("change = 'renamed'").select("file_id", "field_id", F.get_json_object(RESCUED, "$.new.description").alias("description"))
-    gone = enforce_declared(headers).where("new is null").groupBy("file_id", F.col("old.description").alias("description")).agg(F.min("field_id").alias("old_id"))
-    edges = renamed.join(gone, ["file_id", "description"]).join(files.select("file_id", "pipeline", "file_no"), "file_id")
-    edges = edges.groupBy("pipeline", "old_id").agg(F.max(F.struct("file_no", "field_id")).alias("m")).select("pipeline", "old_id", F.col("m.field_id").alias("name"), F.col("m.file_no").alias("since"), F.col("m.file_no").alias("reach"))
+    declared = stage(declared_fields(headers), "declared")
+    fresh = _Replayed.of(stage(enforce_declared(headers), "drift")).fresh.where("was is not null")
+    files = _files(headers).select("file_id", "pipeline", "file_no")
+    edges = fresh.groupBy("file_id", F.col("was.field_id").alias("old_id")).agg(F.min("field_id").alias("name")).join(files, "file_id")
     edges = stage(edges, "renames")
-    for _ in range(max_rounds):
-        far = edges.select("pipeline", F.col("old_id").alias("name"), F.col("name").alias("name_2"), F.col("since").alias("since_2"), F.col("reach").alias("reach_2"))
-        on = edges.join(far, ["pipeline", "name"], "left").withColumn("on", F.coalesce(F.col("since_2") > F.col("reach"), F.lit(False)))
-        edges = stage(on.select("pipeline", "old_id", F.when(F.col("on"), F.col("name_2")).otherwise(F.col("name")).alias("name"), "since", F.when(F.col("on"), F.col("reach_2")).otherwise(F.col("reach")).alias("reach"), "on"), "renames")
-        if edges.where("on").isEmpty():
+    asked = declared.select("pipeline", "field_id", "file_no", "file_id", F.lit(None).cast("string").alias("old_id"))
+    asked = asked.unionByName(edges.select("pipeline", F.col("name").alias("field_id"), "file_no", "file_id", "old_id"))
+    found = stage(_next_rename(asked, edges.select("pipeline", F.col("old_id").alias("field_id"), "file_no", "file_id")), "next")
+    chain = found.where("old_id is not null").select("file_id", "old_id", F.col("field_id").alias("name"), "next_file")
+    while True:  # every round doubles how far a rename looks ahead
+        chain = stage(chain, "chain")
+        if chain.where("next_file is not null").isEmpty():
             break
-        edges = edges.drop("on")
-    last = edges.select("pipeline", F.col("old_id").alias("field_id"), "name", "since")
-    named = declared.join(last, ["pipeline", "field_id"], "left")
-    return named.select("file_id", "field_id", F.when(F.col("since") > F.col("file_no"), F.col("name")).otherwise(F.col("field_id")).alias("canonical"), "number", "type")
+        far = chain.select(F.col("file_id").alias("next_file"), F.col("old_id").alias("name"), F.col("name").alias("far_name"), F.col("next_file").alias("far_file"))
+        chain = chain.join(far, ["next_file", "name"], "left").select("file_id", "old_id", F.coalesce("far_name", "name").alias("name"), F.col("far_file").alias("next_file"))
+    last = chain.select(F.col("file_id").alias("next_file"), F.col("old_id").alias("field_id"), F.col("name").alias("last_name"))
+    own = found.where("old_id is null").select("file_id", "field_id", "next_file").join(last, ["next_file", "field_id"], "left")
+    named = declared.select("file_id", "field_id", "number", "type").join(own.select("file_id", "field_id", "last_name"), ["file_id", "field_id"])
+    return named.select("file_id", "field_id", F.coalesce("last_name", "field_id").alias("canonical"), "number", "type")
 
 
 @dataclass(frozen=True)

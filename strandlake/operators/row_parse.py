@@ -2,8 +2,9 @@
 
 Method: one anchored regular expression is generated from the schema for the whole row; rows that
 match it are valid.  The others pass through field-prefix patterns, one field longer each time, and
-the first prefix that does not match names the broken field.  All of it stays in the JVM, and
-quantifiers are possessive, so a row of any length is read once, without backtracking or recursion.
+the first prefix that does not match names the broken field.  What the row is like from that field on
+gives the reason.  All of it stays in the JVM, and quantifiers are possessive, so a row of any length
+is read once per pattern, without backtracking or recursion.
 """
 
 from __future__ import annotations
@@ -91,18 +92,21 @@ def classify_rows(df: DataFrame, text: str, schema: RowSchema) -> DataFrame:
     ones are replaced, all other columns stay.
     """
     row, n = F.col(f"`{text}`"), len(schema.fields)
+    # the number of the first field whose prefix fails; n where all fields are there and valid
+    broken: Column = F.when(row.isNull(), 0).when(row.rlike(schema.whole()), -1)
+    for i in range(n):
+        broken = broken.when(~row.rlike(schema.prefix(i + 1)), i)
+    out = df.withColumn("reject_field", broken.otherwise(n))
+    at = F.col("reject_field")
     reason = (
-        F.when(row.isNull(), "columns")
-        .when(row.rlike(schema.whole()), None)
+        F.when(at < 0, None)
+        .when(row.isNull(), "columns")
         .when(~row.rlike(schema.structure()), "quoting")
-        .when(~row.rlike(schema.structure(n)), "columns")
+        .when((at == n) | ~row.rlike(schema.structure(n)), "columns")
         .otherwise("value")
     )
-    field: Column = F.when(row.isNull(), schema.fields[0].name)
-    for i, f in enumerate(schema.fields, 1):
-        field = field.when(~row.rlike(schema.prefix(i)), f.name)
-    out = df.withColumn("reject_reason", reason)
-    return out.withColumn("reject_field", F.when(F.col("reject_reason").isNotNull(), field))
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    return out.withColumn("reject_reason", reason).withColumn("reject_field", F.when(at >= 0, F.get(names, at))).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("reject_reason", "reject_field")], "reject_reason", "reject_field")
 
 
 def rejected_rows(df: DataFrame, text: str, schema: RowSchema) -> DataFrame:
@@ -116,7 +120,8 @@ def load_rows(df: DataFrame, text: str, schema: RowSchema, keep: Sequence[str] =
     An empty field is null. Text keeps its line ends, and doubled quotes are single again.
     """
     valid = classify_rows(df, text, schema).where("reject_reason is null")
-    cells = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"(?:\A|,)({_ANY})"), F.lit(1))
+    # every cell has its comma in front, so an empty first cell is a match like others
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.col(f"`{text}`")), F.lit(rf",({_ANY})"), F.lit(1))
     valid = valid.select(*[F.col(f"`{c}`") for c in keep], cells.alias("__cells"))
     out = [F.col(f"`{c}`") for c in keep]
     for i, f in enumerate(schema.fields):

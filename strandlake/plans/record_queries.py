@@ -57,6 +57,18 @@ _NUM = r"case when trim(number) in ('A','R','G','.') then trim(number) when rege
 _QUOTED = r'"[^"]*(?:""[^"]*)*"'
 _CELL = rf'(?:{_QUOTED}|[^",]*)'
 
+# One column per field: where the first fields of a row are well formed, the text of the field, else null.
+_PREFIX_CELLS = ",\n".join(
+    rf"case when regexp_matches(raw_line, '^(?:{_CELL},){{{i}}}{_CELL}(?:,|$)') then regexp_extract(raw_line, '^(?:{_CELL},){{{i}}}({_CELL})(?:,|$)', 1) end c{i + 1}"
+    for i in range(11)
+)
+_BARE_CELL = "case when starts_with(c{0}, '\"') then replace(substr(c{0}, 2, length(c{0}) - 2), '\"\"', '\"') else c{0} end"
+_INTEGER = "regexp_full_match(f{0}, '[0-9]+') and try_cast(f{0} as {1}) is not null"
+_VALID = [
+    "f1 <> ''", "true", "f3 in ('BND', 'TRA', '')", "f4 <> ''", _INTEGER.format(5, "bigint"), "true", "f7 <> ''", "f8 <> ''",
+    r"regexp_full_match(f9, '([0-9]+(\.[0-9]+)?)?')", _INTEGER.format(10, "bigint"), _INTEGER.format(11, "int"),
+]
+
 _CELLS = rf"""
 cells as (select *, [case when starts_with(c, '"') then replace(substr(c, 2, length(c) - 2), '""', '"') else c end for c in
     [case when starts_with(m, ',') then substr(m, 2) else m end for m in regexp_extract_all(',' || raw_line, ',{_CELL}')]] f
@@ -104,6 +116,14 @@ select 'period' kind, track, chrom, s span_pos, e span_end from p union all sele
 select line_id, 'quoting' reason from ignored_line where raw_line is not null and not regexp_full_match(raw_line, '{_CELL}(?:,{_CELL})*')
 union all select line_id, case when wrong_count then 'columns' else 'value' end from judged where wrong_count or wrong_value
 union all select line_id, 'columns' from ignored_line where raw_line is null""",
+    "p7_rejected": f"""with {_CELLS},
+reasons as (select line_id, 'quoting' reason from ignored_line where raw_line is not null and not regexp_full_match(raw_line, '{_CELL}(?:,{_CELL})*')
+  union all select line_id, case when wrong_count then 'columns' else 'value' end from judged where wrong_count or wrong_value
+  union all select line_id, 'columns' from ignored_line where raw_line is null),
+cut as (select line_id, {_PREFIX_CELLS} from ignored_line),
+bare as (select line_id, {", ".join(f"{_BARE_CELL.format(i)} f{i}" for i in range(1, 12))} from cut),
+first as (select line_id, case {" ".join(f"when not coalesce(f{i} is not null and {_VALID[i - 1]}, false) then '{f.name}'" for i, f in enumerate(row_parse.IGNORED_ROW.fields, 1))} end field from bare)
+select line_id, reason, field from reasons join first using (line_id)""",
     "p7_loaded": f"""with {_CELLS}
 select line_id, file_id, f[1] chrom, array_to_string(string_split(nullif(f[2], ''), ';'), ';') "filter", nullif(f[3], '') vartype, f[4] vcf_ignored, f[5]::bigint vcf_pos,
   nullif(f[6], '') vcf_id, f[7] vcf_ref, f[8] vcf_alt, nullif(f[9], '')::float::double vcf_qual, f[10]::bigint vcf_rec, f[11]::int vcf_allele

@@ -10,8 +10,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest number of rows that any operator of this package broadcasts, and the bytes they may have.
 BROADCAST_ROWS = 1_000_000
@@ -21,47 +22,77 @@ _STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is chosen (locally) only where none is set."""
+    """The shared folder of the session: that of ``spark.checkpoint.dir``, else the checkpoint folder set.
+
+    A session that runs in one process may have none: it gets a folder of its own.  On a cluster, where
+    executors could not read each other's parts in such a folder, a missing one is a RuntimeError.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="strandlake-")
         sc.setCheckpointDir(configured)
         _STAGED.append(configured)
     return configured
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is dropped when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/strandlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later uses do not recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandlake/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Drops every stored table of the session; results that are not written yet are lost with them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        p.getFileSystem(conf).delete(p, True)
 
 
 @atexit.register
-def _drop_staged() -> None:
+def _drop_at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or not _STAGED:
         return
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _STAGED:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        drop_staged(spark)
     except Exception:  # the JVM may be gone; the folder is the cluster's to clean then
         pass
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """The bytes of a value: of text and binaries their length, of nested values the sum of their parts."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(value)
+    elif isinstance(kind, T.StructType):
+        own = sum((_width(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    elif isinstance(kind, T.ArrayType):
+        own = F.aggregate(value, F.lit(8).cast("long"), lambda s, x: s + _width(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        return _width(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    else:
+        return F.lit(16).cast("long")
+    return F.coalesce(own.cast("long"), F.lit(0).cast("long"))
+
+
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` is proven small: at most ``max_rows`` rows and ``max_bytes`` bytes of values.
 
-    Counts no more than ``max_rows + 1`` rows, so the proof itself is cheap on a huge table.
+    Rows are counted where they are, by partial aggregation; no rows are moved for the proof.
     """
-    sized = [F.octet_length(F.col(f"`{c}`")) if t == "string" else F.lit(16) for c, t in df.dtypes if t != "void"]
-    width = sum((F.coalesce(s, F.lit(0)) for s in sized), F.lit(0)).cast("long")
-    n, b = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return n <= max_rows and b <= max_bytes
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.indexing import with_index
+
 # The columns of an index.
 FAI_COLUMNS = ("chrom", "len", "pos", "line_bp", "line_bytes")
 
@@ -27,19 +29,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     The name is the header up to the first white space; line ends are taken out of the sequence.
     """
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "").withColumn("__at", F.monotonically_increasing_id())
-    head = F.regexp_extract("value", r"\A([^\r\n]*)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"\A[^\r\n]*", ""), r"\s+", "")
-    named = rows.select("__at", F.regexp_extract(head, r"\A\s*(\S*)", 1).alias("chrom"), seq.alias("seq"))
-    order = named.select("__at").orderBy("__at").withColumn("order", F.row_number().over(_by_place()) - 1)
-    return named.join(order, "__at").select("chrom", F.col("order").cast("int").alias("order"), "seq")
-
-
-def _by_place():
-    from pyspark.sql import Window
-
-    # names of records only, never sequences; a file has few records against its size
-    return Window.orderBy("__at")
+    # records are parted where a line begins with '>', so one within a header line parts nothing;
+    # only the first record of a file still has its own '>' then
+    raw = F.regexp_replace("value", r"\A\s*>|\r", "")
+    rows = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "").select(raw.alias("value"))
+    head = F.regexp_extract("value", r"\A([^\n]*)", 1)
+    seq = F.regexp_replace(F.regexp_replace("value", r"\A[^\n]*", ""), r"\s+", "")
+    named = rows.select(F.regexp_extract(head, r"\A\s*(\S*)", 1).alias("chrom"), seq.alias("seq"))
+    return with_index(named, name="order", store=False).select("chrom", F.col("order").cast("int").alias("order"), "seq")
 
 
 def fa_info(spark: SparkSession, path: str, fai: str | None = None) -> DataFrame:

@@ -45,6 +45,48 @@ def test_chains_of_renames(spark):
     assert {(r.field_id, r.canonical) for r in canonical_fields(df).collect()} == {(f"N{i}", "N6") for i in range(1, 7)}
 
 
+def test_a_name_that_returns_takes_its_next_rename(spark):
+    lines = [(1, 1, "X", "d"), (2, 2, "Y", "d"), (3, 3, "Y", "d"), (3, 3, "X", "e"), (4, 4, "Y", "d"), (4, 4, "Z", "e"), (5, 2000, "Y", "d"), (5, 2000, "W", "e")]
+    for pipeline in ("p", None):
+        df = header(spark, *[(f, pipeline, n, i, name, "1", "Integer", text) for i, (f, n, name, text) in enumerate(lines)])
+        got = sorted((r.file_id, r.field_id, r.canonical) for r in canonical_fields(df).collect())
+        assert got == [(1, "X", "Y"), (2, "Y", "Y"), (3, "X", "W"), (3, "Y", "Y"), (4, "Y", "Y"), (4, "Z", "W"), (5, "W", "W"), (5, "Y", "Y")]
+        assert changes(df) == rows(spark.createDataFrame([(2, "Y", "renamed"), (3, "X", "added"), (4, "Z", "renamed"), (5, "W", "renamed")], "a long, b string, c string"))
+
+
+def test_names_match_brute_force(spark):
+    import random
+
+    r, lines = random.Random(4), []
+    for f in range(160):
+        now = {i: f"d{r.choice([i, i, 7])}" for i in r.sample(range(8), r.randrange(2, 7))}
+        lines += [(f, ("p", "q", None)[f % 3], f // 3 * 40, k, f"F{(i + r.choice([0, 0, 0, 1])) % 8}", "1", "Integer", d if r.random() < 0.9 else None) for k, (i, d) in enumerate(now.items())]
+    declared, order = {}, {}
+    for f, p, n, k, i, _, _, d in sorted(lines, key=lambda x: (x[0], x[3])):
+        declared.setdefault(f, {}).setdefault(i, d)
+        order.setdefault(p, set()).add((n, f))
+    want = {}
+    for files in order.values():
+        files, renames = [f for _, f in sorted(files)], []
+        for a, b in zip(files, files[1:]):
+            gone = {}
+            for i in sorted(declared[a].keys() - declared[b].keys(), reverse=True):
+                gone[declared[a][i]] = i
+            step = {}
+            for i in sorted(declared[b].keys() - declared[a].keys(), reverse=True):
+                if declared[b][i] is not None and declared[b][i] in gone:
+                    step[gone[declared[b][i]]] = i
+            renames.append(step)
+        for at, f in enumerate(files):
+            for i in declared[f]:
+                name = i
+                for step in renames[at:]:
+                    name = step.get(name, name)
+                want[f, i] = name
+    assert {(r.file_id, r.field_id): r.canonical for r in canonical_fields(header(spark, *lines)).collect()} == want
+    assert sum(k[1] != v for k, v in want.items()) > 50
+
+
 def test_ingest_rescue_and_replay(spark):
     df = header(spark, (1, "p", 1, 1, "OLD", "1", "Integer", "d"), (1, "p", 1, 2, "L", "2", "Float", "l"), (2, "p", 2, 1, "NEW", "1", "Integer", "d"))
     records = spark.createDataFrame([(1, 0, "OLD=5;L=1.5,.;X=7;X=8;F", "z"), (2, 0, "NEW=no;L=1,b", "z"), (2, 1, ".", "z"), (2, 2, None, "z"), (9, 0, "NEW=4;;Y=a=b", "z")], "file_id long, vcf_rec long, info_text string, NEW string")

@@ -1,7 +1,7 @@
 import random
 import re
 
-from strandlake.operators.row_parse import IGNORED_ROW, classify_rows, digits_up_to, load_rows, rejected_rows
+from strandlake.operators.row_parse import IGNORED_ROW, RowField, RowSchema, classify_rows, digits_up_to, load_rows, rejected_rows
 from strandlake.plans import record_queries
 
 GOOD = 'c,q1;q2,BND,"a ""b"", c",12,id,A,"<X>",1.5,3,1'
@@ -71,6 +71,13 @@ def test_loaded_values_and_clashing_columns(spark):
     assert load_rows(df.limit(0), "line", IGNORED_ROW).collect() == []
 
 
+def test_an_empty_first_field_keeps_its_place(spark):
+    schema = RowSchema((RowField("a"), RowField("b"), RowField("c", "int", "[0-9]+")))
+    lines = [",x,7", ',"",', "a,b,1", ",,", '"",x,', "\"q,\"\"\",,2"]
+    got = load_rows(spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1), "line", schema).collect()
+    assert [tuple(r) for r in got] == [(None, "x", 7), (None, None, None), ("a", "b", 1), (None, None, None), (None, "x", None), ('q,"', None, 2)]
+
+
 def test_digit_patterns():
     for top in (0, 7, 10, 99, 100, 2**31 - 1):
         p = re.compile(digits_up_to(top) + r"\Z")

@@ -128,6 +128,14 @@ def test_writing(spark, path, tmp_path, form):
         vcf_lines(both.drop("vcf_rec"), form)
 
 
+def test_fasta_records_begin_at_line_starts_only(spark, tmp_path):
+    fa = tmp_path / "y.fa"
+    fa.write_bytes(b">chr1 from a>b note\r\nAC>GT\r\nAA\r\n>b\r\nTT\r\n\r\n>c\n")
+    assert [tuple(r) for r in read_fasta(spark, str(fa)).orderBy("order").collect()] == [("chr1", 0, "AC>GTAA"), ("b", 1, "TT"), ("c", 2, "")]
+    fa.write_bytes(b"")
+    assert read_fasta(spark, str(fa)).collect() == []
+
+
 def test_fasta(spark, tmp_path):
     fa = tmp_path / "x.fa"
     fa.write_text(">c1 text\nACgt\nAC\n>c2\nTT\n>c0\n")
