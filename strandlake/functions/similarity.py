@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,42 +15,101 @@ from pyspark.sql import functions as F
 from strandlake.functions.score import AffineScoreModel
 
 
+#: Columns of which all are kept for the way back; longer targets keep every so-manieth and go over a stretch again.
+_KEPT_COLUMNS = 1024
+
+
+def _columns(matches: dict[str, int], n: int, state: tuple[int, int], target: str, free_start: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Per base of ``target``: where the diagonal step is free, where the column rises and falls, and its last step.
+
+    Bit-parallel: a column of the edit table is two integers of ``n`` bits, its rises and its falls,
+    so one base costs a dozen operations on machine words, whatever the query's length.
+    """
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    rise, fall = state
+    lead = 0 if free_start else 1
+    get = matches.get
+    for base in target:
+        same = get(base, 0)
+        flat = (((same & rise) + rise) ^ rise | same | fall) & full
+        over = fall | (full & ~(flat | rise))
+        under = flat & rise
+        last = 1 if over & top else -1 if under & top else 0
+        over = over << 1 | lead
+        rise = (under << 1 | ~(flat | over)) & full
+        fall = over & flat & full
+        yield flat, rise, fall, last
+
+
+def _matches(query: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, base in enumerate(query):
+        out[base] = out.get(base, 0) | 1 << i
+    return out
+
+
+def edit_distance(query: str, target: str, free_ends: bool = False) -> int:
+    """Least edits between the texts or, with ``free_ends``, between ``query`` and any part of ``target``."""
+    n = len(query)
+    if not n:
+        return 0 if free_ends else len(target)
+    here = best = n
+    for *_, last in _columns(_matches(query), n, ((1 << n) - 1, 0), target, free_ends):
+        here += last
+        best = min(best, here)
+    return best if free_ends else here
+
+
 def infix_operations(query: str, target: str) -> list[tuple[str, int]]:
     """Operations of a least-edit alignment of all of ``query`` inside ``target`` (free ends there).
 
     Of several, the one is taken that ends first and, read from its end, prefers aligned bases, then
-    insertions, then deletions.
+    insertions, then deletions.  Memory is two bits a cell of the columns kept: all of a short
+    target's, of a longer one's about twice the square root of their number.
     """
-    q, t = np.frombuffer(query.encode(), np.uint8), np.frombuffer(target.encode(), np.uint8)
-    n, m = len(q), len(t)
-    steps = np.arange(m + 1, dtype=np.int32)
-    table = np.zeros((n + 1, m + 1), np.int16 if n < 32_000 else np.int32)
-    row = np.zeros(m + 1, np.int32)
-    for i in range(1, n + 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (t != q[i - 1]), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        table[i] = row
-    i, j, ops = n, int(np.argmin(row)), []
+    n, m = len(query), len(target)
+    if not n:
+        return []
+    if target.find(query) >= 0:
+        return [("=", n)]
+    matches, start = _matches(query), ((1 << n) - 1, 0)
+    stretch = m if m <= _KEPT_COLUMNS else math.isqrt(m) + 1
+    kept, states = [], [start]
+    here, best, j = n, n, 0
+    for c, (flat, rise, fall, last) in enumerate(_columns(matches, n, start, target, True), 1):
+        here += last
+        if here < best:
+            best, j = here, c
+        if stretch == m:
+            kept.append((flat, rise))
+        elif c % stretch == 0:
+            states.append((rise, fall))
+    i, ops, first = n, [], 0
+    if stretch != m:
+        first = m
     while i:
-        here = table[i, j]
-        if j and table[i - 1, j - 1] + (q[i - 1] != t[j - 1]) == here:
-            ops.append("=" if q[i - 1] == t[j - 1] else "X")
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] + 1 == here:
-            ops.append("I")
-            i -= 1
+        if j <= first and j:  # the stretch before: its columns once more
+            first = (j - 1) // stretch * stretch
+            kept = [(flat, rise) for flat, rise, _, _ in _columns(matches, n, states[first // stretch], target[first:j], True)]
+        if not j:
+            ops.append(("I", i))
+            break
+        flat, rise = kept[j - 1 - first]
+        if query[i - 1] == target[j - 1]:
+            op = "="
+        elif not flat >> (i - 1) & 1:
+            op = "X"
         else:
-            ops.append("D")
-            j -= 1
-    runs: list[tuple[str, int]] = []
-    for op in reversed(ops):
-        if runs and runs[-1][0] == op:
-            runs[-1] = (op, runs[-1][1] + 1)
+            op = "I" if rise >> (i - 1) & 1 else "D"
+        i, j = i - (op != "D"), j - (op != "I")
+        if ops and ops[-1][0] == op:
+            ops[-1] = (op, ops[-1][1] + 1)
         else:
-            runs.append((op, 1))
-    return runs
+            ops.append((op, 1))
+    if len(ops) > 1 and ops[-1][0] == ops[-2][0]:
+        last = ops.pop()
+        ops[-1] = (last[0], ops[-1][1] + last[1])
+    return ops[::-1]
 
 
 def kmer_counts(seq: str, k: int) -> Counter:
@@ -136,6 +197,21 @@ class MatchScoreModel:
         return F.when(missing, F.lit(0.0).cast("float")).when(p == q, F.lit(1.0).cast("float")).otherwise(value)
 
 
+def edit_distance_column(a: Column, b: Column, free_ends: bool = False) -> Column:
+    """:func:`edit_distance` of two columns as INT; null if one is null."""
+
+    @F.pandas_udf("int")
+    def distances(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else edit_distance(p, q, free_ends) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    return distances(a, b)
+
+
+def has_sequence(seq: Column) -> Column:
+    """Whether a sequence is neither null nor blank."""
+    return F.coalesce(seq.rlike(r"\S"), F.lit(False))
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """The most that ``match_prop`` can be: smaller length over larger length."""
     x, y = (F.length(F.regexp_replace(s, r"\A\s+|\s+\z", "")) for s in (a, b))

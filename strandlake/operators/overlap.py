@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import metrics
 from strandlake.functions.segments import segment_overlap
-from strandlake.functions.similarity import MatchScoreModel, length_bound
+from strandlake.functions.similarity import MatchScoreModel, has_sequence, length_bound
 from strandlake.operators.indexing import INDEX, with_index
 from strandlake.operators.interval_join import range_candidates
 from strandlake.operators.weights import DEFAULT_WEIGHTS, WeightStrategy
@@ -133,6 +133,8 @@ class OverlapStage:
         on = [f"__k_{k}" for k in keys]
         if self.size_ro_min is not None:
             a, b = a.where("varlen_a > 0"), b.where("varlen_b > 0")
+        if self.match_prop_min:  # a missing sequence is like none
+            a, b = a.where(has_sequence(F.col("seq_a"))), b.where(has_sequence(F.col("seq_b")))
         # reaches, as (low, high) of both sides
         if self.offset_max == 0:
             return a.join(b, on).drop(*on)

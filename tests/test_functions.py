@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import kmer as K
 from strandlake.functions.alleles import sequence_allele, symbolic_allele
 from strandlake.functions.score import AffineScoreModel, cigar_expr, cigar_to_array, get_score_model
-from strandlake.functions.similarity import MatchScoreModel, infix_operations, kmer_jaccard
+from strandlake.functions.similarity import MatchScoreModel, edit_distance, edit_distance_column, infix_operations, kmer_jaccard
 from strandlake.functions.variants import default_id, lead_source, sort_columns, variant_id, version_ids
 from strandlake.operators.dotplot import match_lines, match_points
 
@@ -60,6 +60,27 @@ def test_alignment_is_optimal_and_whole():
         assert sum(n for o, n in ops if o in "=XI") == len(q)
         assert sum(n for o, n in ops if o in "XID") == edits(q, t + t)
     assert infix_operations("ACGT", "TTACGTTT") == [("=", 4)]
+    assert infix_operations("", "AC") == [] and infix_operations("AC", "") == [("I", 2)]
+
+
+def test_long_targets_keep_few_columns():
+    r = random.Random(3)
+    for n, m in ((1, 3000), (70, 1025), (300, 2500), (600, 1300)):
+        t = "".join(r.choice("ACGT") for _ in range(m))
+        at = r.randrange(max(1, m - n))
+        q = "".join(c if r.random() > 0.1 else r.choice("ACGT") for c in t[at : at + n])
+        ops = infix_operations(q, t)
+        assert sum(k for o, k in ops if o in "=XI") == n and sum(k for o, k in ops if o in "XID") == edits(q, t) == edit_distance(q, t, True)
+        assert all(a[0] != b[0] for a, b in zip(ops, ops[1:]))
+
+
+def test_edit_distance(spark):
+    r = random.Random(4)
+    pairs = [("".join(r.choice("ACG") for _ in range(r.randrange(0, 90))), "".join(r.choice("ACG") for _ in range(r.randrange(0, 150)))) for _ in range(200)]
+    df = spark.createDataFrame([*pairs, (None, "A"), ("A", None)], "a string, b string")
+    got = df.select(edit_distance_column(df.a, df.b), F.levenshtein("a", "b"), edit_distance_column(df.a, df.b, True)).collect()
+    assert all(x == y for x, y, _ in got)
+    assert [z for *_, z in got] == [edits(a, b) for a, b in pairs] + [None, None]
 
 
 def test_match_prop(spark):
