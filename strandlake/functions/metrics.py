@@ -22,8 +22,9 @@ def f32(value: float) -> Column:
 
 
 def ratio(num: Column, den: Column) -> Column:
-    """num / den as DOUBLE; num and den are not negative (or num is clipped afterwards)."""
-    return F.when(den != 0, num.cast("double") / F.when(den != 0, den.cast("double"))).when(num == 0, _nan()).when(num > 0, F.lit(math.inf)).when(num < 0, F.lit(-math.inf))
+    """num / den as DOUBLE; den is not negative. Each expression stands in it once or twice only, as the
+    code of a join's condition must stay small."""
+    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.when(num == 0, _nan()).otherwise(F.signum(num) * F.lit(math.inf)))
 
 
 def _lengths_known(value: Column) -> Column:
@@ -35,7 +36,7 @@ def reciprocal_overlap() -> Column:
     """Shared length over the larger length, between 0 and 1; NaN if both lengths are 0, null if one is null."""
     shared = F.least("_end_ro_a", "_end_ro_b") - F.greatest("pos_a", "pos_b")
     larger = F.greatest("varlen_a", "varlen_b")
-    value = F.greatest(F.least(ratio(shared, larger), F.lit(1.0)), F.lit(0.0))
+    value = F.greatest(F.least(F.try_divide(shared.cast("double"), larger.cast("double")), F.lit(1.0)), F.lit(0.0))
     return _lengths_known(F.when(larger == 0, _nan()).otherwise(value))
 
 
@@ -57,8 +58,9 @@ def offset_proportion() -> Column:
 
 def at_least(value: Column, limit: float) -> Column:
     """``value >= limit`` as FLOAT; NaN is not."""
-    return (value >= f32(limit)) & ~F.isnan(value)
+    return F.nanvl(value, F.lit(-math.inf).cast("float")) >= f32(limit)
 
 
 def at_most(value: Column, limit: float) -> Column:
-    return (value <= f32(limit)) & ~F.isnan(value)
+    """``value <= limit`` as FLOAT; NaN, which is above all numbers, is not."""
+    return value <= f32(limit)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.indexing import with_index
+
 
 def id_snv() -> Column:
     """``chrom-(pos+1)-SNV-REFALT``; null if a part is."""
@@ -46,17 +48,27 @@ def default_id(index: str) -> Column:
     return F.coalesce(F.col("id").cast("string"), F.concat(F.lit("var"), F.col(index).cast("string")))
 
 
-def version_ids(df: DataFrame, id_col: str = "id", tie: Sequence[str | Column] = (), order_col: str = "filter") -> DataFrame:
+def version_ids(df: DataFrame, id_col: str = "id", tie: Sequence[str | Column] = (), order_col: str = "filter", hot_rows: int = 100_000) -> DataFrame:
     """Makes ids unique: trailing ``.<number>`` is cut off, then repetitions get ``.1``, ``.2``, ...
 
     The order within an id is that of ``order_col`` (null first), then ``tie``; give a ``tie`` that
-    decides, if runs are to agree.  A null id stays null.
+    decides, if runs are to agree.  A null id stays null.  Ids of more than ``hot_rows`` rows (blank
+    ones, say) are ranked by ranges of their order instead of in one task; the result is the same.
     """
     base = F.regexp_replace(F.col(id_col), r"\.[0-9]*$", "")
-    # null ids need no order, so they are spread instead of meeting in one task
-    spread = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64("chrom", "pos"), F.lit(4096))) if {"chrom", "pos"} <= set(df.columns) else F.lit(0)
-    order = [F.col(order_col).asc_nulls_first()] if order_col in df.columns else []
-    window = Window.partitionBy("__base", "__spread").orderBy(*(order + list(tie) or [F.lit(0)]))
-    ranked = df.withColumn("__base", base).withColumn("__spread", spread).withColumn("__n", F.row_number().over(window) - 1)
+    order = ([F.col(order_col).asc_nulls_first()] if order_col in df.columns else []) + list(tie)
+    based = df.withColumn("__base", base)
+    counts = based.where("__base is not null").groupBy("__base").count().where(F.col("count") > hot_rows)
+    hot = [r[0] for r in counts.select("__base").collect()]  # no more than rows / hot_rows
+    is_hot = F.col("__base").isin(hot) if hot else F.lit(False)
+    window = Window.partitionBy("__base").orderBy(*(order or [F.lit(0)]))
+    ranked = based.where(F.col("__base").isNotNull() & ~is_hot).withColumn("__n", F.row_number().over(window) - 1)
+    ranked = ranked.unionByName(based.where("__base is null").withColumn("__n", F.lit(0)))  # these need no order
+    if hot:
+        placed = with_index(based.where(is_hot), ["__base", *(order or [F.lit(0)])], "__at").withColumn("__range", F.floor(F.col("__at") / F.lit(hot_rows)))
+        first = Window.partitionBy("__base")
+        starts = placed.groupBy("__base", "__range").agg(F.min("__at").alias("__from")).withColumn("__from", F.min("__from").over(first))
+        placed = placed.join(starts, ["__base", "__range"]).withColumn("__n", F.col("__at") - F.col("__from"))
+        ranked = ranked.unionByName(placed.select(*based.columns, F.col("__n").cast("int").alias("__n")))
     new = F.when(F.col("__n") > 0, F.concat("__base", F.lit("."), F.col("__n").cast("string"))).otherwise(F.col("__base"))
-    return ranked.withColumn(id_col, new).drop("__base", "__spread", "__n")
+    return ranked.withColumn(id_col, new).drop("__base", "__n")

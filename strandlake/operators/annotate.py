@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.coords import CoordCol, get_coord_cols
@@ -35,6 +35,19 @@ def _islands(df: DataFrame, cols: CoordCol, pad: int) -> DataFrame:
     return stage(merge_depth(padded, col_max_depth=None, sort=False).withColumn(INDEX, F.monotonically_increasing_id()), "islands")
 
 
+def _outermost(df: DataFrame, cols: CoordCol, pad: int, tile: int = 1 << 14) -> DataFrame:
+    """The padded intervals without most of those that lie within another: enough to say what is hit.
+
+    Of equal starts the longest stays; within a tile of starts, which has ``tile`` rows at most then,
+    what ends no later than an earlier one goes.
+    """
+    chrom, pos, end = cols.columns()
+    longest = df.select(chrom.alias("chrom"), (pos.cast("long") - pad).alias("pos"), (end.cast("long") + pad).alias("end")).where("chrom is not null and `end` >= pos").groupBy("chrom", "pos").agg(F.max("end").alias("end"))
+    earlier = Window.partitionBy("chrom", F.floor(F.col("pos") / F.lit(tile))).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    outer = longest.withColumn("__reach", F.max("end").over(earlier)).where("__reach is null or `end` > __reach").drop("__reach")
+    return stage(outer.withColumn(INDEX, F.monotonically_increasing_id()), "outermost")
+
+
 def as_bool(
     df_a: DataFrame,
     df_b: DataFrame,
@@ -47,13 +60,13 @@ def as_bool(
     """``_index`` and ``name``: whether the row of ``df_a`` has a match in ``df_b`` (or has none: ``negate``).
 
     What a match is, :func:`~strandlake.operators.interval_join.pairwise_join` says.  For distances
-    from 0 on, ``df_b`` is merged first, so a pile of its rows is met once.  A row of ``df_a`` with a
+    from 0 on, what lies within another row of ``df_b`` is left out first, so a pile is met once.  A row of ``df_a`` with a
     null coordinate has no match; no row is lost or repeated.
     """
     name, cols_a, cols_b = _named(name), get_coord_cols(col_names_a), get_coord_cols(col_names_b)
     a = _numbered(df_a, cols_a)
     if distance >= 0:
-        hits = pairwise_join(a, _islands(df_b, cols_b, distance), 0, cols_a)
+        hits = pairwise_join(a, _outermost(df_b, cols_b, distance), 0, cols_a)
     else:
         hits = pairwise_join(a, df_b, distance, cols_a, cols_b)
     hit = hits.select(F.col("index_a").alias(INDEX)).distinct().withColumn("__hit", F.lit(True))

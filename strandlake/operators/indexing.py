@@ -24,10 +24,14 @@ def with_index(df: DataFrame, order_by: Sequence[str | Column] | None = None, na
     ``store=False`` is for plain scans of files, whose rows are in the same places each time: they
     are read twice then instead of being stored.
     """
-    if name in df.columns:
-        if retain:
-            return df.withColumn(name, F.col(name).cast("long"))
-        df = df.drop(name)
+    if name in df.columns and retain:
+        return df.withColumn(name, F.col(name).cast("long"))
+    return numbered(df, order_by, name, store=store)[0]
+
+
+def numbered(df: DataFrame, order_by: Sequence[str | Column] | None = None, name: str = INDEX, *, store: bool = True) -> tuple[DataFrame, int]:
+    """:func:`with_index` with a new index, and the number of rows."""
+    df = df.drop(name)
     if order_by is not None:
         df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = df.withColumn("__place", F.monotonically_increasing_id())
@@ -39,5 +43,5 @@ def with_index(df: DataFrame, order_by: Sequence[str | Column] | None = None, na
     offsets = pa.table({"__split": counts["p"], "__before": pa.array(total.cumsum() - total)})
     few = len(total) <= BROADCAST_ROWS
     offsets = df.sparkSession.createDataFrame(offsets)
-    numbered = placed.withColumn("__split", split).join(F.broadcast(offsets) if few else offsets, "__split")
-    return numbered.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit(_LOW))).drop("__place", "__split", "__before")
+    rows = placed.withColumn("__split", split).join(F.broadcast(offsets) if few else offsets, "__split")
+    return rows.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit(_LOW))).drop("__place", "__split", "__before"), int(total.sum())

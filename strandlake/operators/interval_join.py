@@ -8,32 +8,45 @@ pair meets at the coarser of its two levels, in the later of its two first bins
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.coords import CoordCol, get_coord_cols
 from strandlake.operators.indexing import INDEX, with_index
+from strandlake.session import BROADCAST_ROWS, stage
 
-_LEVELS = 16
 _STEP = 3  # bins of a level are 8 times as wide as those of the level before
+_LEAST_BITS = 4
+#: Rows from which a table is worth spreading over the cores before its pairs are formed.
+SPREAD_ROWS = 10_000
 
 
-def _level(length: Column, width: int) -> Column:
-    out = F.when(length <= width, 0)
-    for i in range(1, _LEVELS):
-        out = out.when(length <= width << (_STEP * i), i)
-    return out.otherwise(_LEVELS)
+def _bits(length: Column) -> Column:
+    """The least b with length <= 2**b: a length's class, of which there are 64 at most."""
+    return F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1)))
 
 
-def _binned(df: DataFrame, low: str, high: str, width: int, levels: list[int], own: bool, side: str) -> DataFrame:
-    """One row per bin: at the interval's own level, or at those of ``levels`` that are above it."""
-    level = F.col("__lv")
-    wanted = F.array(level) if own else F.filter(F.array(*[F.lit(i) for i in levels]), lambda i: i > level)
-    at = df.withColumn("__l", F.explode(wanted))
-    shift = F.lit(width).cast("long") * F.expr(f"shiftleft(1L, __l * {_STEP})")
+def _level_of(bits: int, width_bits: int) -> int:
+    return max(0, -(-(bits - width_bits) // _STEP))
+
+
+def _lengths(sides: list[tuple[DataFrame, Column]]) -> list[dict[int, int]]:
+    """How many lengths of each class every side has: one pass, and a few rows for the driver."""
+    classes = [df.select(F.lit(i).alias("side"), _bits(n).alias("bits")) for i, (df, n) in enumerate(sides)]
+    out: list[dict[int, int]] = [{} for _ in sides]
+    for r in reduce(DataFrame.unionAll, classes).groupBy("side", "bits").count().collect():
+        out[r.side][r.bits] = r["count"]
+    return out
+
+
+def _binned(df: DataFrame, low: str, high: str, width_bits: int, places: Column, side: str) -> DataFrame:
+    """One row per bin that the interval has in each of ``places`` (kind of meeting, level)."""
+    at = df.withColumn("__at", F.explode(places)).select("*", "__at.*").drop("__at", "__lv")
+    shift = F.expr(f"shiftleft(1L, {width_bits} + __l * {_STEP})")
     at = at.withColumn(f"__first_{side}", F.floor(F.col(low) / shift)).withColumn("__last", F.floor(F.col(high) / shift))
-    return at.withColumn("__bin", F.explode(F.sequence(f"__first_{side}", "__last"))).drop("__last", "__lv")
+    return at.withColumn("__bin", F.explode(F.sequence(f"__first_{side}", "__last"))).drop("__last")
 
 
 def range_candidates(a: DataFrame, b: DataFrame, keys: list[str], low: tuple[str, str], high: tuple[str, str], bin_width: int | None = None) -> DataFrame:
@@ -45,24 +58,34 @@ def range_candidates(a: DataFrame, b: DataFrame, keys: list[str], low: tuple[str
     """
     for_a = a.where(F.col(low[0]).isNotNull() & (F.col(high[0]) >= F.col(low[0])))
     for_b = b.where(F.col(low[1]).isNotNull() & (F.col(high[1]) >= F.col(low[1])))
-    spans = for_a.select((F.col(high[0]) - F.col(low[0])).alias("n")).unionAll(for_b.select((F.col(high[1]) - F.col(low[1])).alias("n")))
-    if bin_width is None:
-        typical = spans.agg(F.percentile_approx("n", 0.5, 1000)).first()[0]
-        bin_width = max(16, int(typical or 0))
-    a_lv = for_a.withColumn("__lv", _level(F.col(high[0]) - F.col(low[0]), bin_width))
-    b_lv = for_b.withColumn("__lv", _level(F.col(high[1]) - F.col(low[1]), bin_width))
-    levels = sorted(r["__lv"] for r in spans.select(_level(F.col("n"), bin_width).alias("__lv")).distinct().collect())  # at most 17
-    on = [*keys, "__l", "__bin"]
-    owned = F.col("__bin") == F.greatest("__first_a", "__first_b")
-    # b not longer than a (or as long): at a's level; b longer: at b's level
-    fine_b = _binned(b_lv, low[1], high[1], bin_width, levels, True, "b")
-    if len(levels) > 1:
-        fine_b = fine_b.unionByName(_binned(b_lv, low[1], high[1], bin_width, levels, False, "b"))
-    pairs = _binned(a_lv, low[0], high[0], bin_width, levels, True, "a").join(fine_b, on).where(owned)
-    if len(levels) > 1:
-        coarse = _binned(a_lv, low[0], high[0], bin_width, levels, False, "a").join(_binned(b_lv, low[1], high[1], bin_width, levels, True, "b"), on).where(owned)
-        pairs = pairs.unionByName(coarse)
-    return pairs.drop("__l", "__bin", "__first_a", "__first_b")
+    n_a, n_b = F.col(high[0]) - F.col(low[0]), F.col(high[1]) - F.col(low[1])
+    classes = _lengths([(for_a, n_a), (for_b, n_b)])
+    if bin_width is None:  # the class of the median length
+        both = sorted((k, n) for c in classes for k, n in c.items())
+        half, seen, width_bits = sum(n for _, n in both) / 2, 0, _LEAST_BITS
+        for k, n in both:
+            seen += n
+            if seen >= half:
+                width_bits = max(_LEAST_BITS, k)
+                break
+    else:
+        width_bits = max(0, (max(1, bin_width) - 1).bit_length())
+    levels_a, levels_b = (sorted({_level_of(k, width_bits) for k in c}) for c in classes)
+    level = lambda n: F.greatest(F.lit(0), F.ceil((_bits(n) - width_bits) / F.lit(_STEP))).cast("int")
+    place = lambda kind, lv: F.struct(F.lit(kind).alias("__kind"), lv.cast("int").alias("__l"))
+    lv = F.col("__lv")
+    listed = lambda kind, levels, keep: F.transform(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), keep), lambda x: place(kind, x))
+    # kind 0, b not longer than a: they meet at a's level; kind 1, b longer: at b's level
+    in_a = F.concat(F.array(place(0, lv)), listed(1, levels_b, lambda x: x > lv))
+    in_b = F.concat(F.array(place(1, lv)), listed(0, levels_a, lambda x: x >= lv))
+    binned_a = _binned(for_a.withColumn("__lv", level(n_a)), low[0], high[0], width_bits, in_a, "a")
+    binned_b = _binned(for_b.withColumn("__lv", level(n_b)), low[1], high[1], width_bits, in_b, "b")
+    on = [*keys, "__kind", "__l", "__bin"]
+    if SPREAD_ROWS < sum(classes[0].values()) <= BROADCAST_ROWS:
+        # a small table is one split or few, but its pairs may be very many: its bins are spread over the cores
+        binned_a = binned_a.repartition(*on)
+    pairs = binned_a.join(binned_b, on).where(F.col("__bin") == F.greatest("__first_a", "__first_b"))
+    return pairs.drop("__kind", "__l", "__bin", "__first_a", "__first_b")
 
 
 def _side(df: DataFrame, cols: CoordCol, suffix: str) -> DataFrame:
@@ -104,7 +127,7 @@ def pairwise_join(
 
 def pairwise_join_iter(df_a: DataFrame, df_b: DataFrame, distance: int = 0, col_names_a: CoordCol | tuple | str | None = None, col_names_b: CoordCol | tuple | str | None = None) -> Iterator[DataFrame]:
     """:func:`pairwise_join` as one frame per chromosome of ``df_a`` (at least one, maybe empty, frame)."""
-    joined = pairwise_join(df_a, df_b, distance, col_names_a, col_names_b)
+    joined = stage(pairwise_join(df_a, df_b, distance, col_names_a, col_names_b), "joined")
     chrom = get_coord_cols(col_names_a).columns()[0]
     names = sorted(r[0] for r in df_a.select(chrom).where(chrom.isNotNull()).distinct().toLocalIterator())
     if not names:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from enum import Enum
 from functools import reduce
 from typing import Any
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.functions.variants import default_id, version_ids
-from strandlake.operators.indexing import INDEX, with_index
-from strandlake.operators.overlap import PairwiseOverlap
+from strandlake.operators.indexing import INDEX, numbered, with_index
+from strandlake.operators.overlap import Extra, PairwiseOverlap
 from strandlake.schema import VARIANT, check_columns
-from strandlake.session import stage
+from strandlake.session import BROADCAST_ROWS, new_path, stage
 
 #: Stored tables of groups that are read side by side before they are made one.
 COMPACT = 32
@@ -114,59 +114,65 @@ class MergeCumulative:
         if not sets:
             raise ValueError("there is no call set to merge")
         filters = [] if pre_filter is None else [pre_filter] if isinstance(pre_filter, (str, Column)) else list(pre_filter)
-        tables, order, types = [], [], {}
         needed = self.pairwise_join.required_cols | {"chrom", "pos", "end"}
-        for c in sets:
+        types: dict[str, T.DataType] = {"_src_index": T.LongType()}
+        spark = sets[0].table.sparkSession
+        path, tables = new_path(spark, "callsets"), []
+        for k, c in enumerate(sets):
             check_columns(c.table, needed, f"call set {c.name}")
             t = with_index(c.table, name=INDEX, retain=retain_index).withColumnRenamed(INDEX, "_src_index")
             t = t.withColumn("id", default_id("_src_index") if "id" in t.columns else F.concat(F.lit("var"), F.col("_src_index").cast("string")))
             for f in filters:
                 t = t.where(f)
-            for f in t.schema.fields:
-                if not f.name.startswith("_") and f.name not in types:
-                    order.append(f.name)
-                    types[f.name] = f.dataType
-            tables.append(stage(t, "callset"))
-        founders, sources = self._merge(tables, sorted((needed | {"id", "varlen"}) - {INDEX}))
-        return self._finish(sets, tables, sources, order, types, sort, add_id)
+            kept = [f for f in t.schema.fields if not f.name.startswith("_") or f.name == "_src_index" or f.name in needed]
+            for f in kept:
+                types.setdefault(f.name, f.dataType)
+            t = t.select(*[F.col(f"`{f.name}`").cast(types[f.name]).alias(f.name) for f in kept])
+            t.write.parquet(f"{path}/_k={k}")
+            tables.append(spark.read.schema(t.schema).parquet(f"{path}/_k={k}"))
+        order = [c for c in types if not c.startswith("_")]
+        sources = self._merge(tables, sorted((needed | {"id", "varlen"}) - {INDEX}))
+        # a call set's missing columns are null in the one table of all of them
+        everything = spark.read.schema(T.StructType([*[T.StructField(c, t) for c, t in types.items()], T.StructField("_k", T.IntegerType())])).parquet(path)
+        return self._finish(sets, everything, sources, order, types, sort, add_id)
 
     def _founder_columns(self, t: DataFrame, columns: Sequence[str]) -> list[Column]:
         return [F.col(f"`{c}`") if c in t.columns else (F.col("end") - F.col("pos")).alias("varlen") for c in columns]
 
-    def _merge(self, tables: list[DataFrame], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        """(founders: ``_mg`` and their columns; sources: one row per entry of a group)."""
+    def _merge(self, tables: list[DataFrame], columns: list[str]) -> DataFrame:
+        """One row per entry of a group: ``_mg``, where the entry comes from, and how it matched the founder."""
         founders: list[DataFrame] = []
         sources: list[DataFrame] = []
         n_groups = 0
         none = [F.lit(None).cast(t).alias(s) for s, t in zip(_STATS, ("float", "int", "float", "float", "float", "float"), strict=True)]
+        join = self.pairwise_join
+        join = replace(join, join_cols=(*join.join_cols, Extra("pos_b", "_pos_b", frozenset({"pos"}))), drop_default_join_cols=False)
         for k, t in enumerate(tables):
-            entry = [F.lit(k).alias("src_index"), F.col("_src_index").alias("var_index"), F.col("id").alias("var_id"), F.col("pos").alias("_pos")]
             fresh = t
             if founders:
                 known = reduce(DataFrame.unionByName, founders)
-                met = self.pairwise_join.join(known.withColumnRenamed("_mg", INDEX), t.withColumnRenamed("_src_index", INDEX), retain_index=True)
-                best = stage(one_to_one(met.select("index_a", "index_b", *_STATS)), "matches")
-                joined = t.join(best.withColumnRenamed("index_b", "_src_index"), "_src_index")
-                sources.append(stage(joined.select(F.col("index_a").alias("_mg"), *entry, *_STATS), "sources"))
+                met = join.join(known.withColumnRenamed("_mg", INDEX), t.withColumnRenamed("_src_index", INDEX), retain_index=True)
+                best = stage(one_to_one(met.select("index_a", "index_b", "id_b", "_pos_b", *_STATS)), "matches")
+                sources.append(best.select(F.col("index_a").alias("_mg"), F.lit(k).alias("src_index"), F.col("index_b").alias("var_index"), F.col("id_b").alias("var_id"), F.col("_pos_b").alias("_pos"), F.lit(False).alias("_founder"), *_STATS))
                 fresh = t.join(best.select(F.col("index_b").alias("_src_index")), "_src_index", "left_anti")
             # new groups are numbered in the order of their coordinates, so numbers are reproducible;
             # the index is a stored table, so the history of a step ends here
-            fresh = with_index(fresh, ["chrom", "pos", "end", "id", "_src_index"], "_nth", retain=False).withColumn("_mg", F.col("_nth") + n_groups)
-            n_groups += fresh.count()
-            sources.append(fresh.select("_mg", *entry, *none))
-            founders.append(fresh.select("_mg", *self._founder_columns(fresh, columns)))
+            fresh, n = numbered(fresh.select("_src_index", *self._founder_columns(fresh, columns)), ["chrom", "pos", "end", "id", "_src_index"], "_nth")
+            fresh = fresh.withColumn("_mg", F.col("_nth") + n_groups)
+            n_groups += n
+            sources.append(fresh.select("_mg", F.lit(k).alias("src_index"), F.col("_src_index").alias("var_index"), F.col("id").alias("var_id"), F.col("pos").alias("_pos"), F.lit(True).alias("_founder"), *none))
+            founders.append(fresh.select("_mg", *[F.col(f"`{c}`") for c in columns]))
             if len(founders) >= COMPACT:  # plans of very many call sets stay short
                 founders, sources = ([stage(reduce(DataFrame.unionByName, x), "compact")] for x in (founders, sources))
-        return reduce(DataFrame.unionByName, founders), reduce(DataFrame.unionByName, sources)
+        return reduce(DataFrame.unionByName, sources)
 
-    def _finish(self, sets: list[CallsetDef], tables: list[DataFrame], sources: DataFrame, order: list[str], types: dict[str, T.DataType], sort: bool, add_id: bool) -> DataFrame:
-        label = F.create_map(*[F.lit(x) for i, c in enumerate(sets) for x in (i, c.name)])
-        meta = F.create_map(*[y for i, c in enumerate(sets) for y in (F.lit(i), F.lit(c.meta).cast("string"))])
-        src = F.struct("src_index", F.element_at(label, F.col("src_index")).alias("src_name"), F.element_at(meta, F.col("src_index")).alias("src_meta"), "var_index", "var_id")
+    def _finish(self, sets: list[CallsetDef], everything: DataFrame, sources: DataFrame, order: list[str], types: dict[str, T.DataType], sort: bool, add_id: bool) -> DataFrame:
+        told = everything.sparkSession.createDataFrame([(i, c.name, c.meta) for i, c in enumerate(sets)], "src_index int, src_name string, src_meta string")
+        sources = sources.join(F.broadcast(told) if len(sets) <= BROADCAST_ROWS else told, "src_index")
+        src = F.struct("src_index", "src_name", "src_meta", "var_index", "var_id")
         stat = F.when(F.col("_founder"), F.lit(None)).otherwise(F.struct(*_STATS))
-        founder = F.col("src_index") == F.min("src_index").over(Window.partitionBy("_mg"))
         # a group has one entry per call set at most, so its list is bounded by their number
-        listed = sources.withColumn("_founder", founder).groupBy("_mg").agg(F.array_sort(F.collect_list(F.struct(F.col("src_index").alias("o"), F.col("_pos").alias("p"), src.alias("src"), stat.alias("stat")))).alias("x"))
+        listed = sources.groupBy("_mg").agg(F.array_sort(F.collect_list(F.struct(F.col("src_index").alias("o"), F.col("_pos").alias("p"), src.alias("src"), stat.alias("stat")))).alias("x"))
         places = F.transform("x", lambda e: e["p"])
         lead = F.greatest(F.array_position(places, F.array_min(places)) - 1, F.lit(0)) if self.lead_strategy is LeadStrategy.LEFT else F.lit(0)
         groups = listed.select(
@@ -175,22 +181,13 @@ class MergeCumulative:
             F.filter(F.transform("x", lambda e: e["stat"]), lambda s: s.isNotNull()).alias("mg_stat"),
             F.coalesce(lead, F.lit(0)).cast("long").alias("mg_src_lead"),
         )
-        groups = stage(groups, "groups")
         of_lead = F.get("mg_src", F.col("mg_src_lead").cast("int"))
         leads = groups.withColumn("_k", of_lead["src_index"]).withColumn("_src_index", of_lead["var_index"])
-        parts, drop_filter = [], "filter" not in order
-        columns = [*order, *(["filter"] if drop_filter else [])]
-        types = types | ({"filter": T.ArrayType(T.StringType())} if drop_filter else {})
-        for k, t in enumerate(tables):
-            have = set(t.columns)
-            values = [F.col(f"`{c}`").cast(types[c]).alias(c) if c in have else F.lit(None).cast(types[c]).alias(c) for c in columns]
-            parts.append(t.select("_src_index", *values).join(leads.where(F.col("_k") == k).drop("_k"), "_src_index").drop("_src_index"))
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        merged = merged.withColumn("filter", F.coalesce("filter", F.array().cast(types["filter"])))
+        merged = everything.select("_k", "_src_index", *[F.col(f"`{c}`") for c in order]).join(leads, ["_k", "_src_index"]).drop("_k", "_src_index")
+        filters = types.get("filter", T.ArrayType(T.StringType()))
+        merged = merged.withColumn("filter", F.coalesce("filter" if "filter" in order else F.lit(None), F.array().cast(filters)))
         if add_id:
-            merged = version_ids(merged, tie=["chrom", "pos", "end", "_mg"])
+            merged = version_ids(stage(merged, "merged"), tie=["chrom", "pos", "end", "_mg"])
         if sort:
             merged = merged.orderBy("chrom", "pos", "end", "id")
         return merged.select(*[F.col(f"`{c}`") for c in order], "mg_src", "mg_stat", "mg_src_lead")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +22,11 @@ from strandlake.operators.indexing import INDEX, with_index
 from strandlake.operators.interval_join import range_candidates
 from strandlake.operators.weights import DEFAULT_WEIGHTS, WeightStrategy
 from strandlake.schema import check_columns, to_variant
+from strandlake.session import stage
 
 JOIN_COLS = ("index_a", "index_b", "id_a", "id_b", "ro", "offset_dist", "offset_prop", "size_ro", "match_prop", "weight")
 RESERVED = frozenset({INDEX, "_end_ro"})
+_SALTS = 16
 _MEASURES = frozenset({"ro", "offset_dist", "offset_prop", "size_ro", "match_prop", "seg_ro", "weight"})
 
 
@@ -131,6 +133,10 @@ class OverlapStage:
         for k in keys:  # one key column of a common name; the suffixed ones stay
             a, b = a.withColumn(f"__k_{k}", F.col(f"{k}_a")), b.withColumn(f"__k_{k}", F.col(f"{k}_b"))
         on = [f"__k_{k}" for k in keys]
+        if self.match_filter_pass:
+            passed = F.size("filter_b") == 0
+            a, b = a.withColumn("__k_pass", F.size("filter_a") == 0), b.withColumn("__k_pass", ~passed if self.compat_filter_xor else passed)
+            on.append("__k_pass")
         if self.size_ro_min is not None:
             a, b = a.where("varlen_a > 0"), b.where("varlen_b > 0")
         if self.match_prop_min:  # a missing sequence is like none
@@ -155,7 +161,10 @@ class OverlapStage:
             b = b.withColumn("__size", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: bin_of("b") + i)))
             return a.join(b, [*on, "__size"]).drop(*on, "__size")
         else:
-            return a.join(b, on).drop(*on)
+            # all pairs of a chromosome (or key) are wanted, so a large one is salted
+            a = a.withColumn("__salt", F.pmod(F.xxhash64("index_a"), F.lit(_SALTS)).cast("int"))
+            b = b.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+            return a.join(b, [*on, "__salt"]).drop(*on, "__salt")
         return range_candidates(a, b, on, low, high, bin_width).drop(*on, "__low", "__high")
 
     def holds(self) -> list[Column]:
@@ -163,16 +172,13 @@ class OverlapStage:
         out = []
         if self.ro_min is not None:
             ro = F.col("ro")
-            out.append(metrics.at_least(ro, self.ro_min) if self.ro_min > 0 else (ro > 0) & ~F.isnan(ro))
+            out.append(metrics.at_least(ro, self.ro_min) if self.ro_min > 0 else F.nanvl(ro, F.lit(0.0).cast("float")) > 0)
         if self.size_ro_min is not None:
             out.append(metrics.at_least(F.col("size_ro"), self.size_ro_min))
         if self.offset_max is not None and self.offset_max > 0:
             out.append(F.col("offset_dist") <= int(self.offset_max))
         if self.offset_prop_max is not None:
             out.append(metrics.at_most(F.col("offset_prop"), self.offset_prop_max))
-        if self.match_filter_pass:
-            same = (F.size("filter_a") == 0) == (F.size("filter_b") == 0)
-            out.append(~same if self.compat_filter_xor else same)
         if self.match_prop_min:
             out.append(length_bound(F.col("seq_a"), F.col("seq_b")) >= F.lit(self.match_prop_min * (1 - 1e-6)))
         return out + [x.column() for x in self.join_predicates]
@@ -251,7 +257,7 @@ class PairwiseOverlap:
         check_columns(df, self.required_cols, f"table {suffix}")
         df = df.drop("_end_ro")
         extras = [x for s in self.stages for x in (*s.join_predicates, *s.join_filters)] + list(self.join_cols)
-        if not extras:  # numbering stores the table once, so only what is read should be in it
+        if all(x.requires for x in extras):  # the table may be stored, so only what is read should be in it
             known = self.required_cols | {INDEX, "varlen", "id"}
             df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in known])
         df = with_index(df, retain=retain_index)
@@ -299,6 +305,8 @@ class PairwiseOverlap:
         columns are only read where a user's expression names them.
         """
         a, b = self._prepared(df_a, "a", retain_index), self._prepared(df_b, "b", retain_index)
+        if len(self.stages) > 1:  # every stage reads both sides
+            a, b = stage(a, "side_a"), stage(b, "side_b")
         with_match = any(s.match_prop_min is not None for s in self.stages)
         found = [self._run_stage(s, a, b, with_match) for s in self.stages]
         p = "__" if self.drop_default_join_cols else ""
@@ -314,9 +322,9 @@ class PairwiseOverlap:
 
     def join_iter(self, df_a: DataFrame, df_b: DataFrame, retain_index: bool = False) -> Iterator[DataFrame]:
         """:meth:`join` as one frame per chromosome of ``df_a`` (at least one, maybe empty, frame)."""
-        a = with_index(df_a, retain=retain_index)
-        b = with_index(df_b, retain=retain_index)
-        names = sorted(r[0] for r in a.select("chrom").where("chrom is not null").distinct().toLocalIterator())
+        # joined and stored once; every frame is a part of it
+        joined = replace(self, join_cols=(*self.join_cols, Extra("chrom_a", "__chrom", frozenset({"chrom"})))).join(df_a, df_b, retain_index)
+        joined = stage(joined, "joined")
+        names = sorted(r[0] for r in df_a.select("chrom").where("chrom is not null").distinct().toLocalIterator())
         for name in names or [None]:
-            same = F.col("chrom") == F.lit(name)
-            yield self.join(a.where(same), b.where(same), retain_index=True)
+            yield joined.where(F.col("__chrom") == F.lit(name)).drop("__chrom")
