@@ -28,8 +28,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The best value of each field, and the share of the votes that it has."""
     truth, entries = _truth(spark, d)
-    return truth.survivors(entries).withColumnsRenamed({"group": "mg_index", "source": "src_name", "item": "var_index"})
+    best = truth.survivors(entries).withColumnsRenamed({"group": "mg_index", "source": "src_name", "item": "var_index"})
+    shares = {f"support_{f}": F.round(F.get("support", F.lit(i)), 6) for i, f in enumerate(("id", "varlen", "ref", "alt", "filter", "seq"))}
+    return best.withColumns(shares).withColumn("filter", F.array_join("filter", ";", "null")).drop("support")
+
+
+def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """The reliability that every call set has in the end."""
+    return _truth(spark, d)[0].reliabilities().select(F.col("source").alias("src_name"), F.round("weight", 6).alias("weight"), "converged")
 
 
 def _copies(spark: SparkSession, d: str) -> CopyGroups:
@@ -66,4 +74,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where("piece = 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p5_found, p5_representatives, p6_found, p8_containers, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_survivors, p4_reliability, p5_found, p5_representatives, p6_found, p8_containers, p9_found, p10_found, p10_pieces)}

@@ -4,7 +4,8 @@ Method: iterative truth discovery.  Each source votes for the values its records
 the source's reliability, and a source is the more reliable the larger the support of its values is.
 Both are estimated in turn until the reliabilities stand still; the survivor takes the value with
 the largest support in each field.  The survivor's base record (its place in the sources) is the most
-complete, then the most recent, then the most trusted claim.
+complete, then the most recent, then the most trusted claim; the same order decides between values
+of equal support.
 
 Values are compared by 64-bit hashes of their normal form while voting; the values themselves are
 fetched once, for the winners.
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.hot import attach
 from strandlake.session import bounded, maybe_broadcast, stage
 
 #: Claims that one group may have to be judged within a row; larger groups are judged by joins.
 ROW_CLAIMS = 4096
 #: Sources whose reliabilities are sent to every task (8 bytes each); more are judged by joins.
 MAX_SOURCES = 1_000_000
-MAX_ROUNDS = 12
+#: The estimates settle within a few rounds; sources that never do are reported (``converged``), not awaited.
+MAX_ROUNDS = 100
 TOLERANCE = 1e-3
 #: A source starts as if it had been right once and wrong once.
 PRIOR = 1.0
@@ -44,20 +47,21 @@ def normal_form(value: Column, kind: str) -> Column:
     return F.upper(F.regexp_replace(value, r"\s+", "")) if kind == "string" else value
 
 
-def _flat(batch: pa.RecordBatch, n_fields: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per field: (row, source code, value hash) of the claims, each once."""
+def _flat(batch: pa.RecordBatch, n_fields: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per field: (row, source code, value hash, place in the row's list) of the claims, each once, at its first place."""
     lists = batch.column(batch.schema.get_field_index("claims"))
-    flat = lists.flatten()
-    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     code = flat.field(0).to_numpy(zero_copy_only=False)
     for i in range(n_fields):
         values = flat.field(i + 1)
         keep = values.is_valid().to_numpy(zero_copy_only=False)
-        r, c, h = row[keep], code[keep], values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-        by = np.lexsort((c, h, r))
-        r, c, h = r[by], c[by], h[by]
+        r, c, p, h = row[keep], code[keep], place[keep], values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        by = np.lexsort((p, c, h, r))
+        r, c, h, p = r[by], c[by], h[by], p[by]
         once = np.r_[True, (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(r) else np.zeros(0, bool)
-        yield r[once], c[once], h[once]
+        yield r[once], c[once], h[once], p[once]
 
 
 def _support(row: np.ndarray, code: np.ndarray, value: np.ndarray, weight: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +82,18 @@ class TruthDiscovery:
     Defined cases: an entry with a null part or without a record claims nothing, and a group without
     any claim does not come out; an entry listed twice is one claim; several records of one source
     may claim several values, each once; a missing value is no claim, and a field nobody claims is
-    null; claims of equal support are decided by the smallest hash; ties between base records by
-    completeness, recency (null last), rank (unranked last), source in byte order, item; empty tables
-    give no rows; further columns are not read.
+    null; ties between base records are decided by completeness, recency (null last), rank (unranked
+    last), source in byte order, item; values of equal support (to 12 digits) by the first of their
+    claims in that order; empty tables give no rows; further columns are not read.
+
+    ``rounds_used`` and ``converged`` tell how the estimation ended.
     """
 
     def __init__(self, groups: DataFrame, records: DataFrame, trust: DataFrame, fields: Mapping[str, str], recency: Column, *, row_claims: int = ROW_CLAIMS, max_sources: int = MAX_SOURCES, rounds: int = MAX_ROUNDS):
-        self._fields, self._records, self._rounds, self.rounds_used = fields, records, rounds, 0
+        self._fields, self._records, self._rounds, self.rounds_used, self.converged = fields, records, rounds, 0, False
         entries = groups.where("group is not null and source is not null and item is not null").groupBy("group", "source", "item").count().drop("count")
-        sources = stage(entries.select("source").distinct(), "sources")
+        entries = stage(entries, "entries")
+        sources = stage(entries.groupBy("source").agg(F.count(F.lit(1)).alias("n_entries")), "sources")
         n_sources = sources.count()
         # codes 0..n-1 for the reliabilities' vector; only made if it may be sent to tasks at all
         self._by_vector = n_sources <= max_sources and bounded(sources, max_sources)
@@ -98,17 +105,19 @@ class TruthDiscovery:
             told = told.join(F.broadcast(codes), "source")
         else:
             told = told.withColumn("code", F.xxhash64("source"))
-        told = maybe_broadcast(stage(told, "told"), max_sources)
+        self._told = told = stage(told, "told")
         hashes = [F.when(present(F.col(f"`{f}`"), k).isNotNull(), F.xxhash64(F.lit(i), normal_form(F.col(f"`{f}`"), k))).alias(f"h{i}") for i, (f, k) in enumerate(fields.items())]
         facts = records.where("source is not null and item is not null").select("source", "item", recency.alias("recency"), *hashes)
         missing = sum((F.when(F.col(f"h{i}").isNull(), 1).otherwise(0) for i in range(len(fields))), F.lit(0))
         order = F.struct(missing.alias("missing"), (-F.coalesce(F.col("recency"), F.lit(-(2**62)))).alias("age"), F.coalesce(F.col("rank").cast("long"), F.lit(2**62)).alias("rank"), F.col("source"), F.col("item"))
-        claims = entries.join(facts, ["source", "item"]).join(told, "source").select("group", "code", *[f"h{i}" for i in range(len(fields))], order.alias("order"))
+        # one source may have any share of the entries, so its rank and code come by a join that splits it
+        found = attach(entries.join(facts, ["source", "item"]), told, "source", "n_entries", entries.count())
+        claims = found.select("group", "code", *[f"h{i}" for i in range(len(fields))], order.alias("order"))
 
         # counted on the claims: one record may have been delivered any number of times
         claims = stage(claims, "claims")
         large = stage(claims.groupBy("group").count().where(F.col("count") > row_claims).select("group"), "large")
-        claim = F.struct("code", *[f"h{i}" for i in range(len(fields))])
+        hs = [f"h{i}" for i in range(len(fields))]
         if not self._by_vector:
             small_claims, self._long = None, claims
         elif large.isEmpty():
@@ -116,8 +125,13 @@ class TruthDiscovery:
         else:
             large = maybe_broadcast(large)
             small_claims, self._long = claims.join(large, "group", "left_anti"), claims.join(large, "group", "left_semi")
-        # one shuffle both gathers the claims of a group and finds its base record
-        self._rows = None if small_claims is None else stage(small_claims.groupBy("group").agg(F.min("order").alias("base"), F.collect_set(claim).alias("claims")), "groups")
+        # one shuffle both gathers the claims of a group, in order, and finds its base record
+        if small_claims is None:
+            self._rows = None
+        else:
+            listed = small_claims.groupBy("group").agg(F.array_sort(F.collect_set(F.struct("order", "code", *hs))).alias("x"))
+            plain = F.transform("x", lambda x: F.struct(x["code"].alias("code"), *[x[h].alias(h) for h in hs]))
+            self._rows = stage(listed.select("group", F.get("x", F.lit(0))["order"].alias("base"), plain.alias("claims")), "groups")
         self._weigh(len(names))
 
     def _weigh(self, n_sources: int) -> None:
@@ -125,8 +139,10 @@ class TruthDiscovery:
         k = len(self._fields)
         spark = self._records.sparkSession
         if not self._by_vector:
+            self._n_votes = self._long.count() * k
             return self._weigh_by_joins(k)
         self.weights = np.ones(n_sources)
+        self._n_votes = 0 if self._long is None else self._long.count() * k
         for self.rounds_used in range(1, self._rounds + 1):
             shared = spark.sparkContext.broadcast(self.weights)
 
@@ -134,7 +150,7 @@ class TruthDiscovery:
                 weight = shared.value
                 wrong, told = np.zeros(len(weight)), np.zeros(len(weight))
                 for batch in batches:
-                    for row, code, value in _flat(batch, k):
+                    for row, code, value, _ in _flat(batch, k):
                         nth, support = _support(row, code, value, weight, batch.num_rows)
                         wrong += np.bincount(code, 1 - support[nth], minlength=len(weight))
                         told += np.bincount(code, minlength=len(weight))
@@ -143,8 +159,7 @@ class TruthDiscovery:
 
             parts = [self._rows.select("claims").mapInArrow(errors, "code long, wrong double, told double")]
             if self._long is not None:
-                now = spark.createDataFrame(pa.table({"code": pa.array(range(n_sources), pa.int64()), "weight": pa.array(self.weights)}))
-                parts.append(self._long_errors(F.broadcast(now), k))
+                parts.append(self._long_errors(self._long_weights(), k))
             sums = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
             found = sums.groupBy("code").agg(F.sum("wrong").alias("wrong"), F.sum("told").alias("told")).toArrow()  # a row per source: bounded
             new = np.ones(n_sources)
@@ -152,7 +167,8 @@ class TruthDiscovery:
             new[at] = self._reliability(found["wrong"].to_numpy(), found["told"].to_numpy())
             moved = np.abs(new - self.weights).max(initial=0)
             self.weights = new
-            if moved <= TOLERANCE:
+            self.converged = bool(moved <= TOLERANCE)
+            if self.converged:
                 break
 
     @staticmethod
@@ -163,25 +179,47 @@ class TruthDiscovery:
     def _votes(self, long_claims: DataFrame, weights: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(claims in long form, support of each value) of groups too large for a row."""
         cells = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"h{i}").alias("value")) for i in range(k)])
-        cast = long_claims.select("group", "code", F.explode(cells).alias("x")).where("x.value is not null").select("group", "code", "x.field", "x.value").distinct()
-        votes = cast.join(weights, "code").groupBy("group", "field", "value").agg(F.sum("weight").alias("votes"))
+        cast = long_claims.select("group", "code", "order", F.explode(cells).alias("x")).where("x.value is not null").groupBy("group", "code", "x.field", "x.value").agg(F.min("order").alias("order"))
+        weighed = attach(cast, weights, "code", "n_votes", self._n_votes)
+        votes = weighed.groupBy("group", "field", "value").agg(F.sum("weight").alias("votes"), F.min("order").alias("order"))
         total = votes.groupBy("group", "field").agg(F.sum("votes").alias("total"))
-        return cast, votes.join(total, ["group", "field"]).select("group", "field", "value", (F.col("votes") / F.col("total")).alias("support"))
+        return cast, votes.join(total, ["group", "field"]).select("group", "field", "value", "order", (F.col("votes") / F.col("total")).alias("support"))
 
     def _long_errors(self, weights: DataFrame, k: int) -> DataFrame:
         cast, support = self._votes(self._long, weights, k)
-        return cast.join(maybe_broadcast(stage(support, "support")), ["group", "field", "value"]).groupBy("code").agg(F.sum(1 - F.col("support")).alias("wrong"), F.count(F.lit(1)).cast("double").alias("told"))
+        support = maybe_broadcast(stage(support.drop("order"), "support"))
+        return cast.drop("order").join(support, ["group", "field", "value"]).groupBy("code").agg(F.sum(1 - F.col("support")).alias("wrong"), F.count(F.lit(1)).cast("double").alias("told"))
+
+    def _long_weights(self) -> DataFrame:
+        """``code, weight, n_votes``: the weights now, with how many claims of large groups a source has (at most)."""
+        if not self._by_vector:
+            return self._weight_table
+        now = self._records.sparkSession.createDataFrame(pa.table({"code": pa.array(range(len(self.weights)), pa.int64()), "weight": pa.array(self.weights)}))
+        return F.broadcast(now).withColumn("n_votes", F.lit(0).cast("long"))
 
     def _weigh_by_joins(self, k: int) -> None:
-        self._weight_table = stage(self._long.select("code").distinct().withColumn("weight", F.lit(1.0)), "weights")
+        counted = self._long.groupBy("code").agg((F.count(F.lit(1)) * k).alias("n_votes"))
+        self._weight_table = stage(counted.select("code", F.lit(1.0).alias("weight"), "n_votes"), "weights")
         for self.rounds_used in range(1, self._rounds + 1):
             sums = self._long_errors(self._weight_table, k)
             new = sums.select("code", (-F.log((F.col("wrong") + PRIOR) / (F.col("told") + 2 * PRIOR))).alias("new"))
-            both = stage(self._weight_table.join(new, "code", "left").select("code", F.coalesce("new", "weight").alias("weight"), F.abs(F.coalesce("new", "weight") - F.col("weight")).alias("moved")), "weights")
-            self._weight_table = both.select("code", "weight")
-            if (both.agg(F.max("moved")).first()[0] or 0) <= TOLERANCE:
+            both = stage(self._weight_table.join(new, "code", "left").select("code", F.coalesce("new", F.lit(1.0)).alias("weight"), "n_votes", F.abs(F.coalesce("new", F.lit(1.0)) - F.col("weight")).alias("moved")), "weights")
+            self._weight_table = both.select("code", "weight", "n_votes")
+            self.converged = (both.agg(F.max("moved")).first()[0] or 0) <= TOLERANCE
+            if self.converged:
                 break
 
+    def reliabilities(self) -> DataFrame:
+        """``source, weight, converged``: every source of an entry with its reliability in the end.
+
+        A source without a claim keeps its first weight, 1.
+        """
+        if self._by_vector:
+            now = self._records.sparkSession.createDataFrame(pa.table({"code": pa.array(range(len(self.weights)), pa.int64()), "weight": pa.array(self.weights)}))
+        else:
+            now = self._weight_table.select("code", "weight")
+        return self._told.select("source", "code").join(now, "code", "left").select("source", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.lit(self.converged).alias("converged"))
+
     def decided(self) -> DataFrame:
         """Per group: ``group``, ``base`` (missing, age, rank, source, item), ``win`` and ``support`` (arrays by field)."""
         k, parts = len(self._fields), []
@@ -193,11 +231,12 @@ class TruthDiscovery:
                 for batch in batches:
                     n = batch.num_rows
                     win, sup, has = np.zeros((n, k), np.int64), np.zeros((n, k)), np.zeros((n, k), bool)
-                    for i, (row, code, value) in enumerate(_flat(batch, k)):
+                    for i, (row, code, value, place) in enumerate(_flat(batch, k)):
                         nth, support = _support(row, code, value, weight, n)
-                        first = np.r_[True, nth[1:] != nth[:-1]] if len(nth) else np.zeros(0, bool)
+                        first = np.flatnonzero(np.r_[True, nth[1:] != nth[:-1]]) if len(nth) else np.zeros(0, int)
                         r, v = row[first], value[first]
-                        by = np.lexsort((v, -support.round(12), r))
+                        earliest = np.minimum.reduceat(place, first) if len(first) else first
+                        by = np.lexsort((earliest, -support.round(12), r))
                         r, v, s = r[by], v[by], support[by]
                         top = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
                         win[r[top], i], sup[r[top], i], has[r[top], i] = v[top], s[top], True
@@ -209,9 +248,8 @@ class TruthDiscovery:
             base = "struct<missing:int,age:bigint,rank:bigint,source:string,item:bigint>"
             parts.append(self._rows.select("group", F.col("base").cast(base).alias("base"), "claims").mapInArrow(decide, f"group long, base {base}, win array<long>, support array<double>"))
         if self._long is not None:
-            weights = self._weight_table if not self._by_vector else F.broadcast(self._records.sparkSession.createDataFrame(pa.table({"code": pa.array(range(len(self.weights)), pa.int64()), "weight": pa.array(self.weights)})))
-            _, support = self._votes(self._long, weights, k)
-            best = support.groupBy("group", "field").agg(F.max(F.struct(F.round("support", 12).alias("s"), (-F.col("value").cast("decimal(20,0)")).alias("o"), "value", "support")).alias("b"))
+            _, support = self._votes(self._long, self._long_weights(), k)
+            best = support.groupBy("group", "field").agg(F.min(F.struct((-F.round("support", 12)).alias("s"), "order", "value", "support")).alias("b"))
             at = lambda i, what: F.max(F.when(F.col("field") == i, F.col(f"b.{what}")))
             wide = best.groupBy("group").agg(F.array(*[at(i, "value") for i in range(k)]).alias("win"), F.array(*[at(i, "support") for i in range(k)]).alias("support"))
             bases = self._long.groupBy("group").agg(F.min("order").alias("base"))
