@@ -89,7 +89,8 @@ def _labels(links: DataFrame, limit: int, level: int = 0) -> DataFrame:
     if n <= limit:
         return links.coalesce(1).mapInArrow(_forests(limit), schema)
     # level 0 works on the splits as they are; later ones on partitions of at most the bound
-    parts = links if level == 0 else links.repartition(-(-n // limit), "a")
+    # (by both ends: the links of one popular root go to all of them)
+    parts = links if level == 0 else links.repartition(-(-n // limit), "a", "b")
     roots = parts.mapInArrow(_forests(limit), schema).groupBy("node").agg(F.collect_set("root").alias("roots"))
     # a node has one root per partition it is in, so the sets are bounded by the partitions
     best = F.array_min(F.transform("roots", lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.session import bounded, maybe_broadcast
+from strandlake.session import bounded, maybe_broadcast, stage
 
 #: A key is hot if it holds this share of all rows, and at least so many rows.
 HOT_SHARE = 1 / 2000
@@ -43,7 +43,7 @@ def hot_keys(df: DataFrame, n_rows: int, limit: int, keys: Sequence[str] = ("k1"
 
     if limit > n_rows:  # no key can be hot
         return df.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.lit(0).cast("long").alias("n")).limit(0)
-    named = df.select(F.col(k1).alias("k1"), F.col(k2).alias("k2")).mapInArrow(name_keys, "k1 long, k2 long").distinct()
+    named = stage(df.select(F.col(k1).alias("k1"), F.col(k2).alias("k2")).mapInArrow(name_keys, "k1 long, k2 long").distinct(), "named")
     rows = df.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"))
     return rows.join(maybe_broadcast(named), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
 

@@ -78,28 +78,45 @@ def _snapped(marks: np.ndarray, strength: np.ndarray, reach: int) -> np.ndarray:
     return np.unique(np.array(out, np.int64))
 
 
-def cut_points(ids: np.ndarray, data: bytes, widths: np.ndarray, rule: SplitRule) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(first token, end token) of the pieces, overlap included, and the byte offset of every token."""
-    n, offsets = len(ids), np.concatenate([[0], np.cumsum(widths[ids])])
+def _end(done: int, most: int, candidates: np.ndarray, strength: np.ndarray, rule: SplitRule) -> int:
+    """Where a piece ends: at the first landmark on a natural boundary past its least size, else at the
+    strongest and latest natural boundary there is past it, else at the first landmark, else at the
+    last character."""
+    own = candidates[np.searchsorted(candidates, done + rule.least) : np.searchsorted(candidates, most, "right")]
+    natural = own[strength[own] > 0]
+    if len(natural):
+        return int(natural[0])
+    low = max(done + 1, min(done + rule.least, most))
+    tail = strength[low : most + 1]
+    best = int(tail.max())
+    if best <= 0 and len(own):
+        return int(own[0])
+    # one character may have more tokens than a piece has: it is cut at the limit then
+    return low + int(np.flatnonzero(tail == best)[-1]) if best >= 0 else most
+
+
+def cut_points(ids: np.ndarray, data: bytes, tok: ByteTokenizer, rule: SplitRule) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(first token, end token) of the pieces, overlap included, and the byte offset of every token.
+
+    A piece has at most ``rule.limit`` tokens of the whole text and, tokenized on its own, as well.
+    """
+    n, offsets = len(ids), np.concatenate([[0], np.cumsum(tok.widths[ids])])
     strength = _strength(data, offsets)
     chars, candidates = np.flatnonzero(strength >= 0), _snapped(_landmarks(ids, rule.spacing), strength, rule.reach)
     pieces, done = [], 0
+    own_size = lambda a, b: tok.count(data[offsets[a] : offsets[b]].decode("utf-8", "replace"))
     while True:
         # the overlap has exactly the wanted size unless that would begin inside a character
         first = int(chars[np.searchsorted(chars, max(0, done - rule.overlap), "right") - 1]) if done else 0
-        most = first + rule.limit
-        if n <= most:
-            pieces.append((first, n))
-            return pieces, offsets
-        k = np.searchsorted(candidates, done + rule.least)
-        if k < len(candidates) and candidates[k] <= most:
-            end = int(candidates[k])
-        else:  # no landmark: the strongest boundary of the last half, the latest of its kind
-            low = max(done + 1, most - (most - done) // 2)
-            end = int(low + max(range(most - low + 1), key=lambda j: (strength[low + j], j)))
-            if strength[end] < 0:  # one character of more tokens than a piece has
-                end = most
+        most = min(n, first + rule.limit)
+        end = n if most == n else _end(done, most, candidates, strength, rule)
+        # cut off from what stood around it, a piece may have more tokens at its ends: it ends earlier then
+        while (over := own_size(first, end) - rule.limit) > 0 and end - over > done:
+            most = end - over
+            end = _end(done, most, candidates, strength, rule)
         pieces.append((first, end))
+        if end == n:
+            return pieces, offsets
         done = end
 
 
@@ -109,7 +126,7 @@ def split_text(text: str, rule: SplitRule, tok: ByteTokenizer) -> list[tuple[int
     ids = tok.ids(data.decode())
     if len(ids) <= rule.limit:
         return [(0, len(ids), 0, len(data), text)]
-    pieces, offsets = cut_points(ids, data, tok.widths, rule)
+    pieces, offsets = cut_points(ids, data, tok, rule)
     return [(a, b, int(offsets[a]), int(offsets[b]), data[offsets[a] : offsets[b]].decode("utf-8", "replace")) for a, b in pieces]
 
 
@@ -120,8 +137,8 @@ def split_oversized(df: DataFrame, ident: str, text: str, rule: SplitRule | None
     """The pieces of every text above ``rule.limit`` tokens, one row each.
 
     Columns: ``id, piece`` (from 0), ``n_pieces, token_from, token_to, byte_from, byte_to,
-    piece_text``.  Tokens and bytes are those of the whole text; ``token_to - token_from`` never
-    exceeds the limit, a piece after the first begins ``rule.overlap`` tokens before the end of the
+    piece_text``.  Tokens and bytes are those of the whole text; neither ``token_to - token_from`` nor
+    the tokens of ``piece_text`` on its own exceed the limit, a piece after the first begins ``rule.overlap`` tokens before the end of the
     one before it (up to 3 more where that would fall inside a character), and the pieces without
     their overlaps are the text.
 

