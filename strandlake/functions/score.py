@@ -33,8 +33,11 @@ def cigar_to_array(cigar: str) -> np.ndarray:
 
 def cigar_expr(cigar: Column) -> Column:
     """The same in the JVM: array<struct<op:int,len:bigint>>; malformed text gives null."""
-    parts = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)([{OPS}])"), F.lit(0))
-    rows = F.transform(parts, lambda p: F.struct((F.instr(F.lit(OPS), F.right(p, F.lit(1))) - 1).alias("op"), F.regexp_extract(p, "^[0-9]+", 0).cast("long").alias("len")))
+    # lengths and operations are two splits of the text, so no expression is run per operation but a cast
+    ops = F.split(F.regexp_replace(cigar, "[0-9]+", ""), "(?!^)(?=.)")
+    lengths = F.split(cigar, f"[{OPS}]")
+    rows = F.zip_with(ops, F.slice(lengths, 1, F.size(ops)), lambda o, n: F.struct((F.instr(F.lit(OPS), o) - 1).alias("op"), n.cast("long").alias("len")))
+    rows = F.when(cigar == "", F.array().cast("array<struct<op:int,len:bigint>>")).otherwise(rows)
     return F.when(cigar.rlike(rf"\A(?:[0-9]+[{OPS}])*\z"), rows)
 
 
@@ -91,8 +94,8 @@ class AffineScoreModel:
         return float(sum(self.score(int(op), int(n)) for op, n in ops))
 
     def mismatch_model(self) -> AffineScoreModel:
-        """The same model without gap penalties."""
-        return replace(self, affine_gap=((0.0, 0.0),), switch=0.0)
+        """The same model without gap penalties; a template switch costs what it did."""
+        return replace(self, affine_gap=((0.0, 0.0),), switch=self.template_switch())
 
     def param_string(self) -> str:
         gaps = ";".join(f"{-o:g}:{-e:g}" for o, e in self.affine_gap)

@@ -15,10 +15,11 @@ from strandlake.functions.segments import segment_overlap
 from strandlake.operators.annotate import as_bool, as_proportion
 from strandlake.operators.depth import melt_depth, merge_depth
 from strandlake.operators.interval_join import pairwise_join
-from strandlake.operators.merge import MergeCumulative
+from strandlake.operators.merge import LeadStrategy, MergeCumulative
 from strandlake.operators.overlap import OverlapStage, PairwiseOverlap
 from strandlake.operators.weights import ElementPriority, WeightElement, WeightStrategy
-from strandlake.session import shared_dir
+from strandlake.plans.strategy import MergeStrategy
+from strandlake.session import new_path
 from strandlake.streaming.annotate import hits_per_batch, stream_as_bool
 
 
@@ -94,10 +95,8 @@ def melt_depth_query(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_as_bool_query(spark: SparkSession, d: str) -> DataFrame:
     """A file stream of side A, annotated by side B in micro-batches."""
-    import uuid
-
     a, b = sides(spark, d)
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     a.select("_index", "chrom", "pos", "end").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("_index long, chrom string, pos long, `end` long").parquet(f"{base}/in")
     hits = stream_as_bool(stream, b, "hit")
@@ -194,13 +193,62 @@ def cumulative_merge_callers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_match_prop(spark: SparkSession, d: str) -> DataFrame:
-    """Merged records against all calls at the same place, with sequence similarity."""
+    """Merged records against calls of their kind and about their size in the same region, with sequence similarity."""
     merged = spark.read.parquet(f"{d}/merged_callset.parquet").withColumn("_index", F.col("mg_index"))
     calls = spark.read.parquet(f"{d}/variant_calls.parquet").withColumn("_index", F.col("call_id"))
     columns = ["_index", "chrom", "pos", "end", "id", "vartype", "varlen", "seq"]
-    seq = F.col("seq").isNotNull()
-    join = PairwiseOverlap(({"offset_max": 0, "match_vartype": True, "match_prop_min": 0.8},))
-    return _wide(join.join(merged.where(seq).select(*columns), calls.where(seq).select(*columns), retain_index=True))
+    join = PairwiseOverlap(({"size_ro_min": 0.8, "offset_max": 10_000_000, "match_vartype": True, "match_prop_min": 0.3},))
+    return _wide(join.join(merged.select(*columns), calls.select(*columns), retain_index=True))
+
+
+def overlap_seg_ro(spark: SparkSession, d: str) -> DataFrame:
+    """A stage on segments: every interval is aligned in two of them."""
+    half = F.floor(F.col("varlen") / 2)
+    part = lambda a, b: F.struct((F.col("pos") + a).alias("pos"), (F.col("pos") + b).alias("end"), a.cast("long").alias("qry_pos"), b.cast("long").alias("qry_end"))
+    with_parts = lambda df: df.withColumns({"seg": F.array(part(F.lit(0), half), part(half, F.col("varlen"))), "qry_pos": F.lit(0).cast("long"), "qry_end": F.col("varlen")})
+    a, b = (with_parts(x) for x in sides(spark, d))
+    return PairwiseOverlap(({"ro_min": 0, "seg_ro_min": 0.5},)).join(a, b, retain_index=True).select("index_a", "index_b")
+
+
+def overlap_strategy(spark: SparkSession, d: str) -> DataFrame:
+    """The join that a strategy text asks for."""
+    return _wide(MergeStrategy.parse("nr::ro(0.5):szro(0.8,20):exact").overlap().join(*sides(spark, d), retain_index=True))
+
+
+def overlap_force_end(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap by end, where the end is farther than the length says."""
+    a, b = (x.withColumn("end", F.col("pos") + 2 * F.col("varlen")) for x in sides(spark, d))
+    return _wide(PairwiseOverlap(({"ro_min": 0.5},), force_end_ro=True).join(a, b, retain_index=True))
+
+
+def cumulative_merge_five(spark: SparkSession, d: str) -> DataFrame:
+    """Five call sets with metadata, merged; a group takes the values of its first source."""
+    iv = intervals(spark, d).drop("vartype", "ref", "alt")
+    sets = [(iv.where(F.col("_index") % 5 == k), f"s{k}", {"set": k} if k % 2 else None) for k in range(5)]
+    merged = MergeCumulative(PairwiseOverlap(({"ro_min": 0.5},)), LeadStrategy.FIRST)(sets, retain_index=True, sort=False)
+    listed = lambda f: F.array_join(F.transform("mg_src", f), ";", "-")
+    ro = F.aggregate("mg_stat", F.lit(0.0), lambda t, x: t + x["ro"].cast("double"))
+    return merged.select("id", "chrom", "pos", "end", "mg_src_lead", listed(lambda x: F.concat(x["src_name"], F.lit(":"), x["var_index"].cast("string"))).alias("sources"), listed(lambda x: x["src_meta"]).alias("metas"), F.size("mg_stat").alias("n_stat"), F.round(ro, 4).alias("ro"))
+
+
+#: Call sets that the SQL of cumulative_merge_callers goes through; there are fewer calling programs, and empty sets add nothing.
+_CALLERS = 10
+
+
+def _merge_rounds(n: int, ro: str) -> str:
+    """CTEs of a merge of the sets 0..n-1 of ``s``, set by set; ``entries`` (k1, idx1: founder; k2, idx2: entry; ro) in the end."""
+    out = ["f0 as materialized (select * from s where k = 0)", "m0 as (select k k1, idx idx1, k k2, idx idx2, null::float ro from f0)"]
+    for j in range(1, n):
+        out.append(f"""p{j} as materialized (select f.k k1, f.idx idx1, b.idx idx2, f.chrom fc, f.pos fp, f.e fe, f.id fi,
+  greatest(least((least(f.pos + f.len, b.pos + b.len) - greatest(f.pos, b.pos))::double / greatest(f.len, b.len), 1), 0)::float ro,
+  (least(f.len, b.len)::double / greatest(f.len, b.len))::float size, (greatest(abs(f.pos - b.pos), abs(f.e - b.e))::double / least(f.len, b.len))::float prop
+  from f{j - 1} f join s b on b.k = {j} and f.chrom = b.chrom and f.vt = b.vt and f.pos < b.pos + b.len and b.pos < f.pos + f.len where f.len > 0 and b.len > 0 and f.e is not null and b.e is not null),
+q{j} as (select *, (ro::double * 0.4::double + size::double * 0.4::double + (1::double - least(greatest(prop::double, 0), 2) / 2::double) * 0.2::double)::float w from p{j} where ro >= {ro}::float),
+r{j} as (select * from q{j} qualify row_number() over (partition by k1, idx1 order by w desc, idx2) = 1),
+b{j} as materialized (select * from r{j} qualify row_number() over (partition by idx2 order by w desc, k1, fc, fp, fe, fi, idx1) = 1),
+f{j} as materialized (select * from f{j - 1} union all select * from s where k = {j} and idx not in (select idx2 from b{j})),
+m{j} as (select k1, idx1, {j} k2, idx2, ro from b{j} union all select k, idx, k, idx, null from f{j} where k = {j})""")
+    return ",\n".join(out) + ",\nentries as (" + " union all ".join(f"select * from m{j}" for j in range(n)) + ")"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -224,13 +272,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_filter_pass": _overlap({"ro_min": 0.5, "match_filter_pass": True}),
     "overlap_vartype": _overlap({"ro_min": 0.5, "match_vartype": True}),
     "overlap_weighted_multistage": _overlap(*_MULTI),
-    "overlap_force_end": _overlap({"ro_min": 0.5}, force_end_ro=True),
-    "overlap_cross": lambda spark, d: _overlap({"match_vartype": True, "match_ref": True, "match_alt": True})(spark, d).groupBy("index_a").agg(F.count(F.lit(1)).alias("n")),
+    "overlap_force_end": overlap_force_end,
+    "overlap_cross": lambda spark, d: _overlap({})(spark, d).groupBy("index_a").agg(F.count(F.lit(1)).alias("n")),
+    "overlap_keys": lambda spark, d: _overlap({"match_vartype": True, "match_ref": True, "match_alt": True})(spark, d).groupBy("index_a").agg(F.count(F.lit(1)).alias("n")),
+    "overlap_seg_ro": overlap_seg_ro,
+    "overlap_strategy": overlap_strategy,
     "overlap_custom_cols": overlap_custom_cols,
     "overlap_first_weight": overlap_first_weight,
     "overlap_match_prop": overlap_match_prop,
     "seg_ro": seg_ro,
     "cumulative_merge": cumulative_merge,
+    "cumulative_merge_five": cumulative_merge_five,
     "cumulative_merge_callers": cumulative_merge_callers,
 }
 
@@ -257,8 +309,11 @@ select a.idx _index, coalesce(c.bp, 0)::double / a.varlen covered from a left jo
     "overlap_filter_pass": _overlap_sql("ro >= 0.5::float and pass_a = pass_b"),
     "overlap_vartype": _overlap_sql("ro >= 0.5::float and vt_a = vt_b"),
     "overlap_weighted_multistage": _MULTI_SQL,
-    "overlap_force_end": _overlap_sql("ro >= 0.5::float"),
-    "overlap_cross": f"with {IV}, {_MEASURES} select index_a, count(*) n from w where vt_a = vt_b and ref_a = ref_b and alt_a = alt_b group by index_a",
+    "overlap_force_end": _overlap_sql("ro >= 0.5::float").replace("pos + varlen e", "pos + 2 * varlen e"),
+    "overlap_cross": f"with {IV}, {_MEASURES} select index_a, count(*) n from w group by index_a",
+    "overlap_seg_ro": f"with {IV}, {_MEASURES} select index_a, index_b from w where ro >= 0.5::float",
+    "overlap_strategy": _overlap_sql("ro >= 0.5::float or (size_ro >= 0.8::float and offset_dist <= 20) or (pos_a = pos_b and e_a = e_b)"),
+    "overlap_keys": f"with {IV}, {_MEASURES} select index_a, count(*) n from w where vt_a = vt_b and ref_a = ref_b and alt_a = alt_b group by index_a",
     "overlap_custom_cols": f"with {IV}, {_MEASURES} select index_a, index_b, abs(pos_a - pos_b) start_gap, ref_a base from w where ro >= 0.2::float and len_a >= 5 and weight > 0.6::double",
     "overlap_first_weight": f"with {IV}, {_MEASURES} select index_a, index_b, (ro::double * 0.5::double + (1::double - least(greatest(offset_dist::double, 0), 40) / 40::double) * 0.5::double)::float::double weight from w where ro >= 0.5::float",
     "seg_ro": """with s as (select l_orderkey k, l_suppkey * 10 p, l_suppkey * 10 + l_quantity::bigint + 1 e, l_quantity::bigint q from lineitem),
@@ -266,4 +321,19 @@ o as (select k, count(*) * 100 span, sum(q) own from s group by k),
 x as (select a.k, sum(greatest(least(a.e, b.e) - greatest(a.p, b.p), 0)::double / (a.e - a.p) * a.q) al from s a join s b on a.k + 1 = b.k group by a.k)
 select o.k order_a, round(greatest(least((x.al + least(o.span - o.own, n.span - n.own)) / greatest(o.span, n.span), 1), 0)::float::double, 4) seg_ro from o join o n on o.k + 1 = n.k join x on x.k = o.k""",
     "cumulative_merge": _MERGE_SQL,
+    "cumulative_merge_five": f"""with {IV}, s as materialized (select (idx % 5)::int k, idx, chrom, pos, pos + varlen e, varlen len, id, '' vt from iv),
+{_merge_rounds(5, "0.5")}
+select f.id, f.chrom, f.pos, f.e "end", 0::bigint mg_src_lead, string_agg('s' || k2 || ':' || g.idx2, ';' order by k2) sources, string_agg(case when k2 % 2 = 1 then '{{"set": ' || k2 || '}}' else '-' end, ';' order by k2) metas,
+  (count(*) - 1)::int n_stat, round(coalesce(sum(g.ro::double), 0), 4) ro from entries g join s f on f.k = g.k1 and f.idx = g.idx1 group by all""",
+    "cumulative_merge_callers": f"""with named as (select *, case when src_name is not null then split_part(src_name, '-', 1) end caller from variant_calls),
+s as materialized (select (dense_rank() over (order by caller nulls last) - 1)::int k, call_id idx, chrom, pos, "end" e, abs(varlen) len, coalesce(id, 'var' || call_id) id, vartype vt, coalesce(filter, []) fl from named),
+{_merge_rounds(_CALLERS, "0.8")},
+mg as (select *, first_value(idx2) over w lead_idx, first_value(k2) over w lead_k, count(*) over (partition by k1, idx1) n_src from (select g.*, p.pos p2 from entries g join s p on p.k = g.k2 and p.idx = g.idx2)
+  window w as (partition by k1, idx1 order by p2 nulls last, k2)),
+grp as (select distinct k1, idx1, lead_idx, lead_k, n_src from mg),
+place as (select k1, idx1, count(*) filter (k2 < lead_k) lead from mg group by all),
+row_ as (select l.chrom, l.pos, l.e, regexp_replace(l.id, '\\.[0-9]*$', '') base, l.vt, l.fl, n_src, lead, row_number() over (order by k1, f.chrom nulls first, f.pos nulls first, f.e nulls first, f.id nulls first, idx1) mg_no
+  from grp join place using (k1, idx1) join s l on l.k = lead_k and l.idx = lead_idx join s f on f.k = k1 and f.idx = idx1),
+ver as (select *, row_number() over (partition by base order by fl, chrom nulls first, pos nulls first, e nulls first, mg_no) - 1 n from row_)
+select chrom, pos, e "end", case when n > 0 then base || '.' || n else base end id, vt vartype, n_src::int n_src, lead::bigint mg_src_lead from ver""",
 }

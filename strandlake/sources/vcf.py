@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from strandlake.functions.alleles import KEPT_IGNORED, TABLE_OF, sequence_allele, symbolic_allele
 from strandlake.functions.variants import sort_columns, variant_id
-from strandlake.operators.indexing import with_index
+from strandlake.operators.indexing import numbered, with_index
 from strandlake.schema import STANDARD_FIELDS
+from strandlake.session import stage
 from strandlake.sources.plain import open_text
 from strandlake.sources.vcf_header import VcfHeader, parse_header
 
@@ -89,21 +90,30 @@ class VcfTables:
         return rows.select("chrom", "filter", kept.alias("vartype"), "vcf_ignored", *VCF_COLUMNS)
 
     def batches(self, batch_size: int = 10_000) -> Iterator[dict[str, DataFrame]]:
-        """The tables of successive ranges of ``batch_size`` records; at least one batch, maybe empty."""
+        """The tables of successive groups of ``batch_size`` records; at least one batch, maybe empty.
+
+        Only records that come out are counted, so those that a region leaves out fill no batch.  The
+        alleles are read and stored once, in the order of their batches, and every batch reads its part.
+        """
         if batch_size < 1:
             raise ValueError("a batch has a record at least")
-        last = self.alleles.agg(F.max("vcf_rec")).first()[0]
-        for first in range(0, (last or 0) + 1, batch_size):
-            part = VcfTables(self.header, self.alleles.where(F.col("vcf_rec").between(first, first + batch_size - 1)), self.samples.where(F.col("vcf_rec").between(first, first + batch_size - 1)))
-            yield {n: part.table(n) for n in (*STANDARD_FIELDS, "ignored")} | {"samples": part.samples}
+        alleles = stage(self.alleles, "alleles")
+        records, n = numbered(alleles.select("vcf_rec").distinct(), ["vcf_rec"], "__n")
+        records = records.select("vcf_rec", F.floor(F.col("__n") / F.lit(batch_size)).alias("__batch"))
+        by_batch = lambda df: stage(df.join(records, "vcf_rec").repartitionByRange("__batch", "vcf_rec").sortWithinPartitions("__batch", "vcf_rec"), "batches")
+        alleles, samples = by_batch(alleles), by_batch(self.samples)
+        for k in range(max(1, -(-n // batch_size))):
+            own = F.col("__batch") == k
+            part = VcfTables(self.header, alleles.where(own).drop("__batch"), samples.where(own).drop("__batch"))
+            yield {x: part.table(x) for x in (*STANDARD_FIELDS, "ignored")} | {"samples": part.samples}
 
 
 def read_vcf(spark: SparkSession, path: str | os.PathLike, chrom: str | None = None, start: int | None = None, end: int | None = None) -> VcfTables:
     """The tables of a VCF file (or a folder of its parts), optionally of the records that touch a region (0-based half-open).
 
     ``start`` and ``end`` need ``chrom``, and start <= end.  A missing file is a FileNotFoundError.
-    Alleles with brackets, of unknown type, or insertions without a length are in ``ignored`` with
-    the reason.  Lines of fewer than 8 fields are skipped.  Values that are not of their declared
+    Alleles with brackets, of unknown type, insertions without a length and records whose POS is no
+    number are in ``ignored`` with the reason (these are in no region).  Lines of fewer than 8 fields are skipped.  Values that are not of their declared
     type are null.  BCF and tabix indexes are not read.
     """
     path = os.fspath(path).removeprefix("file://")
@@ -122,14 +132,16 @@ def read_vcf(spark: SparkSession, path: str | os.PathLike, chrom: str | None = N
         raise ValueError(f"FORMAT fields of reserved names: {sorted(clash)}")
     lines = text.where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
-    records = with_index(lines, name="vcf_rec").select("vcf_rec", f.alias("f")).where(F.size("f") >= 8)
+    # lines stand in the same places of the same files each time they are read, so they are only counted first
+    records = with_index(lines, name="vcf_rec", store=False).select("vcf_rec", f.alias("f")).where(F.size("f") >= 8)
     at = lambda i: F.get("f", F.lit(i))
     keys = F.transform(F.split(at(7), ";"), lambda x: F.substring_index(x, "=", 1))
     values = F.transform(F.split(at(7), ";"), lambda x: F.when(x.contains("="), F.regexp_replace(x, r"\A[^=]*=", "")))
     records = records.select(
         "vcf_rec",
         at(0).alias("chrom"),
-        at(1).cast("long").alias("vcf_pos"),
+        at(1).try_cast("long").alias("vcf_pos"),
+        at(1).alias("raw_pos"),
         _text(at(2)).alias("vcf_id"),
         at(3).alias("vcf_ref"),
         F.split(at(4), ",").alias("alts"),
@@ -164,7 +176,8 @@ def read_vcf(spark: SparkSession, path: str | os.PathLike, chrom: str | None = N
     breakend = alt.contains("[") | alt.contains("]")
     known = F.col("vartype").isin(*TABLE_OF)
     reason = (
-        F.when(breakend, "BND breakend allele")
+        F.when(F.col("vcf_pos").isNull(), F.concat(F.lit("unreadable position '"), F.col("raw_pos"), F.lit("'")))
+        .when(breakend, "BND breakend allele")
         .when(F.col("s.error").isNotNull(), F.col("s.error"))
         .when(~known & F.col("vartype").isin(*KEPT_IGNORED), F.concat("vartype", F.lit(" structural variant")))
         .when(~known, F.concat(F.lit("unrecognized variant type '"), "vartype", F.lit("'")))

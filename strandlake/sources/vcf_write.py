@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.schema import check_columns
+from strandlake.sources.fasta import read_fasta
 from strandlake.sources.vcf_header import SOURCE, VcfHeader, spark_to_vcf_type
 
 _PREFIX = "vcf_info_"
@@ -84,13 +85,33 @@ def vcf_lines(df: DataFrame, alt_format: str = "seq", sample_name: str | None =
     return rows.select("chrom", "vcf_pos", "vcf_rec", F.concat_ws("\t", *parts).alias("line"))
 
 
-def write_vcf(df: DataFrame, path: str, *, alt_format: str = "seq", sample_name: str | None = None, source: str = SOURCE) -> None:
+def with_reference_bases(lines: DataFrame, ref_fasta: str, chunk: int = 1 << 16) -> DataFrame:
+    """``lines`` of :func:`vcf_lines` with the reference's base where REF is ``N``.
+
+    The reference is cut into chunks, and a line meets the chunk of its position, so neither a whole
+    chromosome nor all lines of one come together.  Positions outside of the reference keep ``N``.
+    """
+    chunks = read_fasta(lines.sparkSession, ref_fasta).select(F.col("chrom").alias("__c"), F.posexplode(F.regexp_extract_all("seq", F.lit(f"(.{{1,{chunk}}})"), F.lit(1))).alias("__k", "__text"))
+    at = lines.withColumn("__p", F.col("vcf_pos") - 1).withColumn("__k", F.floor(F.col("__p") / F.lit(chunk)).cast("int"))
+    open_ref = F.split("line", "\t")[3] == "N"
+    met = at.where(open_ref).join(chunks.withColumnRenamed("__c", "chrom"), ["chrom", "__k"], "left")
+    base = F.upper(F.substring("__text", (F.col("__p") - F.col("__k").cast("long") * chunk + 1).cast("int"), F.lit(1)))
+    known = F.when(F.coalesce(base, F.lit("")) != "", F.regexp_replace(F.col("line"), F.lit("\\A((?:[^\t]*\t){3})N"), F.concat(F.lit("$1"), base)))
+    columns = ["chrom", "vcf_pos", "vcf_rec"]
+    return met.select(*columns, F.coalesce(known, "line").alias("line")).unionByName(at.where(~open_ref).select(*columns, "line"))
+
+
+def write_vcf(df: DataFrame, path: str, *, alt_format: str = "seq", sample_name: str | None = None, source: str = SOURCE, ref_fasta: str | None = None) -> None:
     """Writes a folder of VCF text parts, sorted by chromosome and position; part 0 is the header.
 
     The parts in the order of their names are one valid file, so no task ever holds all records.
+    With ``ref_fasta`` a REF that is not known from the table is read from that file.
     """
     header = build_header(df, sample_name, source, alt_format)
     spark = df.sparkSession
-    lines = vcf_lines(df, alt_format, sample_name).repartitionByRange("chrom", "vcf_pos", "vcf_rec").sortWithinPartitions("chrom", "vcf_pos", "vcf_rec").select(F.col("line").alias("value"))
+    lines = vcf_lines(df, alt_format, sample_name)
+    if ref_fasta is not None:
+        lines = with_reference_bases(lines, ref_fasta)
+    lines = lines.repartitionByRange("chrom", "vcf_pos", "vcf_rec").sortWithinPartitions("chrom", "vcf_pos", "vcf_rec").select(F.col("line").alias("value"))
     spark.createDataFrame([(str(header).rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/part=00000-header")
     lines.write.text(f"{path}/part=00001-records")

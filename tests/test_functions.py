@@ -35,7 +35,7 @@ def test_score_models():
         m.score("M", 1)
     assert get_score_model(m.param_string()) == m == get_score_model("") == get_score_model("affine::") == get_score_model(None)
     assert get_score_model("affine::1,,gap=5:1,ts=7").template_switch() == -7 and get_score_model("3").match() == 3
-    assert m.mismatch_model().gap(9) == 0
+    assert m.mismatch_model().gap(9) == 0 and m.mismatch_model().template_switch() == m.template_switch()
     for bad in ("linear::1", "affine::x", "affine::gap=1", "affine::foo=1", "affine::match=1,2", "affine::1,2,3:1,4,5"):
         with pytest.raises(ValueError):
             get_score_model(bad)

@@ -167,3 +167,22 @@ def test_stream(spark, tmp_path):
         out = str(tmp_path / f"out{d}")
         hits.writeStream.foreachBatch(lambda b, _, out=out: hits_per_batch(b, "hit").write.mode("append").parquet(out)).option("checkpointLocation", out + "s").trigger(availableNow=True).start().awaitTermination()
         assert [r.hit for r in spark.read.parquet(out).orderBy("_index").collect()] == want
+
+
+def test_unreadable_positions_are_ignored_with_the_reason(spark, tmp_path):
+    p = tmp_path / "bad.vcf"
+    p.write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nc\tx1\t.\tA\tG\t.\t.\t.\nc\t7\t.\tA\tG\t.\t.\t.\n")
+    t = read_vcf(spark, str(p))
+    assert [(r.vcf_rec, r.vcf_pos, r.vcf_ignored) for r in t.ignored.collect()] == [(0, None, "unreadable position 'x1'")]
+    assert [r.pos for r in t.table("snv").collect()] == [6] and read_vcf(spark, str(p), "c", 0, 100).alleles.count() == 1
+
+
+def test_reference_bases_of_moved_records(spark, tmp_path):
+    fa = tmp_path / "r.fa"
+    fa.write_text(">c\nACGTAC\nGTTTGA\n>d\nGG\n")
+    data = [("c", 5, "N", "NAC", 0, 1, "INS", 2, "AC", 5), ("c", 9, "A", "G", 1, 1, "SNV", 1, None, 8), ("d", 9, "N", "NT", 2, 1, "INS", 1, "T", 9)]
+    df = spark.createDataFrame(data, "chrom string, vcf_pos long, vcf_ref string, vcf_alt string, vcf_rec long, vcf_allele int, vartype string, varlen long, seq string, pos long")
+    out = str(tmp_path / "w")
+    write_vcf(df, out, alt_format="symbolic", ref_fasta=str(fa))
+    got = sorted(tuple(r.value.split("\t")[i] for i in (0, 1, 3, 4)) for r in spark.read.option("recursiveFileLookup", "true").text(out).where("value not like '#%'").collect())
+    assert got == [("c", "6", "C", "<INS>"), ("c", "9", "A", "G"), ("d", "10", "N", "<INS>")]
