@@ -110,12 +110,16 @@ def stream(seq: str, util: KmerUtil) -> Iterator[int]:
     return (kmer for kmer, _ in stream_index(seq, util))
 
 
-def kmer_code(text: Column) -> Column:
-    """The integer of a k-mer (k up to 31) as LONG; null if it has other letters than ACGT."""
-    return F.when(text.rlike("^[ACGTacgt]+$"), F.conv(F.translate(F.upper(text), BASES, "0123"), 4, 10).cast("long"))
+def kmer_code(text: Column, kind: str = "long") -> Column:
+    """The integer of a k-mer (k up to 31) as LONG; null if it has other letters than ACGT.
+
+    K-mers of 32 bases need all 64 bits: with ``kind`` ``decimal(20,0)`` they are integers as well.
+    """
+    return F.when(text.rlike("^[ACGTacgt]{1,32}$"), F.conv(F.translate(F.upper(text), BASES, "0123"), 4, 10).cast(kind))
 
 
 def kmer_text(code: Column, k: int) -> Column:
+    """The k-mer of an integer (LONG or DECIMAL), k up to 32."""
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", BASES)
 
 

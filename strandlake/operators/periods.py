@@ -20,6 +20,7 @@ from strandlake.session import stage
 #: Coordinates of a tile at least, and tiles per group at most; both bound what one task gets.
 MIN_TILE = 1 << 14
 MAX_TILES = 1 << 16
+_MERGE_EARLY = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
 
 
 def _span(ticks: Column) -> Column:
@@ -42,8 +43,6 @@ def merge_periods(df: DataFrame, keys: Sequence[str], start: str = "pos", end: s
     coordinates, and it never changes the result.  Coordinates must stay below 2**61.
     """
     spark = df.sparkSession
-    # sessions are merged before the shuffle too, so copies and piles of one place collapse early
-    spark.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     k = [f"k{i}" for i in range(len(keys))]
     iv = df.select(*[F.col(f"`{c}`").alias(a) for a, c in zip(k, keys, strict=True)], F.col(f"`{start}`").cast("long").alias("s"), F.col(f"`{end}`").cast("long").alias("e"))
     iv = iv.where(" and ".join(f"{c} is not null" for c in [*k, "s", "e"]) + " and e >= s")
@@ -55,7 +54,14 @@ def merge_periods(df: DataFrame, keys: Sequence[str], start: str = "pos", end: s
     iv = iv.withColumn("tile", F.floor(F.col("s") / F.lit(tile)).cast("long"))
     window = F.session_window(F.timestamp_micros(F.col("s") * 2), _span((F.col("e") - F.col("s")) * 2 + 1))
     sessions = iv.groupBy(*k, "tile", window.alias("w")).agg(F.max("e").alias("e"))
-    sessions = stage(sessions.select(*k, "tile", F.expr("cast(unix_micros(w.start) / 2 as long)").alias("s"), "e"), "sessions")
+    sessions = sessions.select(*k, "tile", F.expr("cast(unix_micros(w.start) / 2 as long)").alias("s"), "e")
+    # while these are formed, sessions are merged before the shuffle too, so copies and piles of one place collapse early
+    was = spark.conf.get(_MERGE_EARLY)
+    spark.conf.set(_MERGE_EARLY, "true")
+    try:
+        sessions = stage(sessions, "sessions")
+    finally:
+        spark.conf.set(_MERGE_EARLY, was)
 
     # One row per tile: the largest end before it.
     by_tile, group = Window.partitionBy(*k).orderBy("tile"), Window.partitionBy(*k)

@@ -197,7 +197,8 @@ def overlap_match_prop(spark: SparkSession, d: str) -> DataFrame:
     merged = spark.read.parquet(f"{d}/merged_callset.parquet").withColumn("_index", F.col("mg_index"))
     calls = spark.read.parquet(f"{d}/variant_calls.parquet").withColumn("_index", F.col("call_id"))
     columns = ["_index", "chrom", "pos", "end", "id", "vartype", "varlen", "seq"]
-    join = PairwiseOverlap(({"size_ro_min": 0.8, "offset_max": 10_000_000, "match_vartype": True, "match_prop_min": 0.3},))
+    both = "length(trim(seq_a)) > 0 and length(trim(seq_b)) > 0"
+    join = PairwiseOverlap(({"size_ro_min": 0.8, "offset_max": 10_000_000, "match_vartype": True, "match_prop_min": 0, "join_predicates": both},))
     return _wide(join.join(merged.select(*columns), calls.select(*columns), retain_index=True))
 
 

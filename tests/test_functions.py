@@ -178,3 +178,11 @@ def test_variant_expressions(spark):
     assert [r[0] for r in df.withColumn("i", F.lit(7)).select(default_id("i")).collect()] == ["x.3", "x", "var7", "var7"]
     src = spark.createDataFrame([([("a", 1), ("b", 2)], 1), ([("a", 1)], 5), ([("a", 1)], -1), (None, 0), ([("a", 1)], None)], "mg_src array<struct<n:string,i:int>>, mg_src_lead long").coalesce(1)
     assert [r[0] and r[0].n for r in src.select(lead_source()).collect()] == ["b", None, None, None, None]
+
+
+def test_codes_of_32_bases(spark):
+    r = random.Random(6)
+    texts = ["T" * 32, "A" * 32, *["".join(r.choice("ACGT") for _ in range(32)) for _ in range(20)]]
+    u = K.KmerUtil(32)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("c", K.kmer_code(F.col("t"), "decimal(20,0)")).withColumn("back", K.kmer_text(F.col("c"), 32))
+    assert [(int(x.c), x.back) for x in df.collect()] == [(u.to_kmer(t), t) for t in texts]
