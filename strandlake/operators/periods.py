@@ -56,12 +56,15 @@ def merge_periods(df: DataFrame, keys: Sequence[str], start: str = "pos", end: s
     sessions = iv.groupBy(*k, "tile", window.alias("w")).agg(F.max("e").alias("e"))
     sessions = sessions.select(*k, "tile", F.expr("cast(unix_micros(w.start) / 2 as long)").alias("s"), "e")
     # while these are formed, sessions are merged before the shuffle too, so copies and piles of one place collapse early
-    was = spark.conf.get(_MERGE_EARLY)
+    was = spark.conf.get(_MERGE_EARLY, None)
     spark.conf.set(_MERGE_EARLY, "true")
     try:
         sessions = stage(sessions, "sessions")
     finally:
-        spark.conf.set(_MERGE_EARLY, was)
+        if was is None:
+            spark.conf.unset(_MERGE_EARLY)
+        else:
+            spark.conf.set(_MERGE_EARLY, was)
 
     # One row per tile: the largest end before it.
     by_tile, group = Window.partitionBy(*k).orderBy("tile"), Window.partitionBy(*k)
