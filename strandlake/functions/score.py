@@ -33,12 +33,12 @@ def cigar_to_array(cigar: str) -> np.ndarray:
 
 def cigar_expr(cigar: Column) -> Column:
     """The same in the JVM: array<struct<op:int,len:bigint>>; malformed text gives null."""
-    # lengths and operations are two splits of the text, so no expression is run per operation but a cast
-    ops = F.split(F.regexp_replace(cigar, "[0-9]+", ""), "(?!^)(?=.)")
+    # lengths and operations are two splits of the text and two casts of arrays: nothing runs per operation
+    codes = F.translate(F.regexp_replace(cigar, "[0-9]++", ""), OPS, "".join(map(str, range(len(OPS)))))
     lengths = F.split(cigar, f"[{OPS}]")
-    rows = F.zip_with(ops, F.slice(lengths, 1, F.size(ops)), lambda o, n: F.struct((F.instr(F.lit(OPS), o) - 1).alias("op"), n.cast("long").alias("len")))
+    rows = F.arrays_zip(F.split(codes, "(?!^)(?!$)").cast("array<int>"), F.slice(lengths, 1, F.size(lengths) - 1).cast("array<bigint>")).cast("array<struct<op:int,len:bigint>>")
     rows = F.when(cigar == "", F.array().cast("array<struct<op:int,len:bigint>>")).otherwise(rows)
-    return F.when(cigar.rlike(rf"\A(?:[0-9]+[{OPS}])*\z"), rows)
+    return F.when(cigar.rlike(rf"\A(?:[0-9]++[{OPS}])*+\z"), rows)
 
 
 @dataclass(frozen=True)

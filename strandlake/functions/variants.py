@@ -48,22 +48,26 @@ def default_id(index: str) -> Column:
     return F.coalesce(F.col("id").cast("string"), F.concat(F.lit("var"), F.col(index).cast("string")))
 
 
-def version_ids(df: DataFrame, id_col: str = "id", tie: Sequence[str | Column] = (), order_col: str = "filter", hot_rows: int = 100_000) -> DataFrame:
+def version_ids(df: DataFrame, id_col: str = "id", tie: Sequence[str | Column] = (), order_col: str = "filter", hot_rows: int = 100_000, ids: DataFrame | None = None) -> DataFrame:
     """Makes ids unique: trailing ``.<number>`` is cut off, then repetitions get ``.1``, ``.2``, ...
 
     The order within an id is that of ``order_col`` (null first), then ``tie``; give a ``tie`` that
     decides, if runs are to agree.  A null id stays null.  Ids of more than ``hot_rows`` rows (blank
     ones, say) are ranked by ranges of their order instead of in one task; the result is the same.
+    ``ids`` is a table with all ids of ``df`` (and maybe more) that is cheaper to count, if there is one.
     """
     base = F.regexp_replace(F.col(id_col), r"\.[0-9]*$", "")
     order = ([F.col(order_col).asc_nulls_first()] if order_col in df.columns else []) + list(tie)
     based = df.withColumn("__base", base)
-    counts = based.where("__base is not null").groupBy("__base").count().where(F.col("count") > hot_rows)
-    hot = [r[0] for r in counts.select("__base").collect()]  # no more than rows / hot_rows
+    counts = (based if ids is None else ids.select(base.alias("__base"))).where("__base is not null").groupBy("__base").count().where(F.col("count") > hot_rows)
+    # the largest of them: any other has less than 1/1000 of all rows
+    hot = [r[0] for r in counts.orderBy(F.desc("count")).limit(1000).select("__base").collect()]
     is_hot = F.col("__base").isin(hot) if hot else F.lit(False)
-    window = Window.partitionBy("__base").orderBy(*(order or [F.lit(0)]))
-    ranked = based.where(F.col("__base").isNotNull() & ~is_hot).withColumn("__n", F.row_number().over(window) - 1)
-    ranked = ranked.unionByName(based.where("__base is null").withColumn("__n", F.lit(0)))  # these need no order
+    # null ids need no order: each is a group of its own
+    window = Window.partitionBy("__base", "__spread").orderBy(*(order or [F.lit(0)]))
+    spread = F.when(F.col("__base").isNull(), F.monotonically_increasing_id())
+    cold = based.where(F.col("__base").isNull() | ~is_hot) if hot else based
+    ranked = cold.withColumn("__spread", spread).withColumn("__n", F.row_number().over(window) - 1).drop("__spread")
     if hot:
         placed = with_index(based.where(is_hot), ["__base", *(order or [F.lit(0)])], "__at").withColumn("__range", F.floor(F.col("__at") / F.lit(hot_rows)))
         first = Window.partitionBy("__base")

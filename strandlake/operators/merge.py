@@ -187,7 +187,7 @@ class MergeCumulative:
         filters = types.get("filter", T.ArrayType(T.StringType()))
         merged = merged.withColumn("filter", F.coalesce("filter" if "filter" in order else F.lit(None), F.array().cast(filters)))
         if add_id:
-            merged = version_ids(stage(merged, "merged"), tie=["chrom", "pos", "end", "_mg"])
+            merged = version_ids(merged, tie=["chrom", "pos", "end", "_mg"], ids=everything)
         if sort:
             merged = merged.orderBy("chrom", "pos", "end", "id")
         return merged.select(*[F.col(f"`{c}`") for c in order], "mg_src", "mg_stat", "mg_src_lead")

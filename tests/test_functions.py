@@ -186,3 +186,21 @@ def test_codes_of_32_bases(spark):
     u = K.KmerUtil(32)
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("c", K.kmer_code(F.col("t"), "decimal(20,0)")).withColumn("back", K.kmer_text(F.col("c"), 32))
     assert [(int(x.c), x.back) for x in df.collect()] == [(u.to_kmer(t), t) for t in texts]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 100_000])
+def test_hot_ids_are_ranked_like_others(spark, hot_rows):
+    r = random.Random(9)
+    data = [(r.choice(["", ".", "a", "a.3", "b.x", None, f"u{i}"]), r.choice([[], ["q"], None]), i) for i in range(120)]
+    df = spark.createDataFrame(data, "id string, filter array<string>, n int").repartition(5)
+    got = {x.n: x.id for x in version_ids(df, tie=["n"], hot_rows=hot_rows).collect()}
+    want, groups = {}, {}
+    for ident, f, n in data:
+        if ident is None:
+            want[n] = None
+        else:
+            groups.setdefault(ident.rsplit(".", 1)[0] if "." in ident and (ident.rsplit(".", 1)[1] == "" or ident.rsplit(".", 1)[1].isdigit()) else ident, []).append((f is not None, f or [], n))
+    for base, rows_ in groups.items():
+        for k, (*_, n) in enumerate(sorted(rows_)):
+            want[n] = f"{base}.{k}" if k else base
+    assert got == want
