@@ -21,6 +21,8 @@ from strandlake.session import bounded, stage
 
 #: Links that one task holds at a time (16 bytes each).
 TASK_LINKS = 500_000
+#: Roots of one record that are gathered in a row, on average; a record of more forests is met in parts.
+MAX_SET = 4096
 _PAIR = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
 
@@ -82,7 +84,26 @@ def _forests(limit: int):
     return run
 
 
-def _labels(links: DataFrame, limit: int, level: int = 0) -> DataFrame:
+def _met(forests: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(node, best, is_root; links between roots that share a node), from the forests' (node, root) pairs.
+
+    A node of very many forests is met in ``salts`` parts first, each of which knows its best root; so
+    neither a part nor the list of parts grows with the number of forests alone.
+    """
+    best_of = lambda c: F.array_min(F.transform(c, lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
+    by = ["node", F.pmod(F.xxhash64("root", F.lit(1)), F.lit(salts)).alias("salt")] if salts > 1 else ["node"]
+    roots = forests.groupBy(*by).agg(F.collect_set("root").alias("roots"))
+    roots = stage(roots.select("node", "roots", best_of("roots").alias("best"), F.array_contains("roots", F.col("node")).alias("is_root")), "forest")
+    links = roots.select(F.col("best").alias("a"), F.explode("roots").alias("b"))
+    if salts > 1:
+        parts = roots.groupBy("node").agg(F.collect_set("best").alias("roots"), F.max("is_root").alias("is_root"))
+        parts = stage(parts.select("node", "roots", best_of("roots").alias("best"), "is_root"), "forest")
+        links = links.unionByName(parts.select(F.col("best").alias("a"), F.explode("roots").alias("b")))
+        roots = parts
+    return roots.select("node", "best", "is_root"), links.where("a <> b").distinct()
+
+
+def _labels(links: DataFrame, limit: int, max_set: int, level: int = 0) -> DataFrame:
     """(node, root): every node of ``links`` (a, b) with one root of its component."""
     n = links.count()
     schema = "node long, root long"
@@ -90,15 +111,15 @@ def _labels(links: DataFrame, limit: int, level: int = 0) -> DataFrame:
         return links.coalesce(1).mapInArrow(_forests(limit), schema)
     # level 0 works on the splits as they are; later ones on partitions of at most the bound
     # (by both ends: the links of one popular root go to all of them)
-    parts = links if level == 0 else links.repartition(-(-n // limit), "a", "b")
-    roots = parts.mapInArrow(_forests(limit), schema).groupBy("node").agg(F.collect_set("root").alias("roots"))
-    # a node has one root per partition it is in, so the sets are bounded by the partitions
-    best = F.array_min(F.transform("roots", lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
-    met = stage(roots.select("node", "roots", best.alias("best")), f"forest{level}")
-    above = met.select(F.col("best").alias("a"), F.explode("roots").alias("b")).where("a <> b").distinct()
-    up = stage(_labels(stage(above, f"links{level + 1}"), limit, level + 1), f"labels{level + 1}")
+    forests = -(-n // limit)
+    if level == 0:
+        parts, forests = links, max(forests, links.rdd.getNumPartitions())  # of a plain scan
+    else:
+        parts = links.repartition(forests, "a", "b")
+    met, above = _met(parts.mapInArrow(_forests(limit), schema), -(-forests // max_set))
+    up = stage(_labels(stage(above, f"links{level + 1}"), limit, max_set, level + 1), f"labels{level + 1}")
     # a root stays a node of the level above; all others follow their pointer
-    here = met.select("node", F.when(F.array_contains("roots", F.col("node")), F.col("node")).otherwise(F.col("best")).alias("via"))
+    here = met.select("node", F.when(F.col("is_root"), F.col("node")).otherwise(F.col("best")).alias("via"))
     up = up.withColumnRenamed("node", "via")
     if bounded(up):
         joined = here.join(F.broadcast(up), "via", "left")
@@ -108,7 +129,7 @@ def _labels(links: DataFrame, limit: int, level: int = 0) -> DataFrame:
     return joined.select("node", F.coalesce("root", "via").alias("root"))
 
 
-def connected_groups(links: DataFrame, a: str, b: str, *, task_links: int = TASK_LINKS) -> DataFrame:
+def connected_groups(links: DataFrame, a: str, b: str, *, task_links: int = TASK_LINKS, max_set: int = MAX_SET) -> DataFrame:
     """``id, group_id`` for every record in a link with both ends; group_id is its group's smallest id.
 
     Defined cases: links with a missing end are not read (a record only there does not come out); a
@@ -117,6 +138,6 @@ def connected_groups(links: DataFrame, a: str, b: str, *, task_links: int = TASK
     """
     pairs = links.select(F.col(f"`{a}`").cast("long").alias("a"), F.col(f"`{b}`").cast("long").alias("b")).where("a is not null and b is not null")
     # a loop is a link like any other: union-find gives the record itself as root
-    labels = stage(_labels(stage(pairs, "links0"), task_links), "labels0")
+    labels = stage(_labels(stage(pairs, "links0"), task_links, max_set), "labels0")
     groups = labels.groupBy("root").agg(F.min("node").alias("group_id"), F.count(F.lit(1)).alias("n_members"))
     return attach(labels, groups, "root", "n_members", labels.count()).select(F.col("node").alias("id"), "group_id")

@@ -22,8 +22,8 @@ def brute(links):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize(("limit", "joined"), [(10**6, True), (60, True), (60, False)])
-def test_matches_brute_force_at_every_bound(spark, limit, joined, monkeypatch):
+@pytest.mark.parametrize(("limit", "joined", "max_set"), [(10**6, True, 4096), (60, True, 4096), (60, False, 4096), (60, True, 1)])
+def test_matches_brute_force_at_every_bound(spark, limit, joined, max_set, monkeypatch):
     if not joined:
         for name in ("components", "hot"):
             monkeypatch.setattr(f"strandlake.llm.{name}.bounded", lambda *_: False)
@@ -34,7 +34,7 @@ def test_matches_brute_force_at_every_bound(spark, limit, joined, monkeypatch):
     links += [(None, 5), (5, None), (None, None), (3333333, 3333333)] + links[:40] + [(b, a) for a, b in links[:40]]
     r.shuffle(links)
     df = spark.createDataFrame([(a, b, "x", 1) for a, b in links], SCHEMA).repartition(4)
-    assert {x.id: x.group_id for x in connected_groups(df, "a", "b", task_links=limit).collect()} == brute(links)
+    assert {x.id: x.group_id for x in connected_groups(df, "a", "b", task_links=limit, max_set=max_set).collect()} == brute(links)
 
 
 def test_empty(spark):
