@@ -11,7 +11,7 @@ fields, fields that do not fit, fields that are gone - and replaying the remaind
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -242,22 +242,20 @@ def ingest(records: DataFrame, headers: DataFrame, target: Sequence[TargetField]
     return _fit(rows.select(*keep, renamed.alias("__all")), target, "__all", keep, fitted)
 
 
-def _named(name: str) -> Callable[[Column], Column]:
-    return lambda e: e["field"] == name
-
-
 def _fit(df: DataFrame, target: Sequence[TargetField], entries: str, keep: Sequence[str], fitted_as: str | None = None) -> DataFrame:
     """Moves entries into typed columns; what does not fit goes (back) to the rescue column."""
+    earlier = lambda e, i: F.exists(F.slice(entries, 1, i), lambda b: b["field"] == e["field"])
+    # the first entry of each field, looked up by the columns
+    df = df.withColumn("__first", F.map_from_entries(F.filter(entries, lambda e, i: e["field"].isNotNull() & ~earlier(e, i))))
     columns, taken = [], []
     for t in target:
-        first = F.get(F.filter(entries, _named(t.name)), F.lit(0))
-        value, good = t.typed(first["value"])
-        present = first.isNotNull()
+        present = F.map_contains_key("__first", F.lit(t.name))
+        value, good = t.typed(F.try_element_at("__first", F.lit(t.name)))
         columns.append(F.when(present, value).alias(t.name))
         taken.append(F.when(present & good, F.lit(t.name)))
     fitted = F.array_compact(F.array(*taken)) if taken else F.array().cast("array<string>")
     # an entry stays if its field did not fit, or if an earlier entry of the field was taken
-    rest = F.filter(entries, lambda e, i: ~F.array_contains("__fitted", e["field"]) | F.exists(F.slice(entries, 1, i), lambda b: b["field"] == e["field"]))
+    rest = F.filter(entries, lambda e, i: ~F.array_contains("__fitted", e["field"]) | earlier(e, i))
     out = df.select(*[F.col(f"`{c}`") for c in keep], *columns, F.col(entries), fitted.alias("__fitted"))
     out = out.withColumn(RESCUED, F.when(F.size(rest) > 0, F.to_json(rest))).drop(entries)
     return out.withColumnRenamed("__fitted", fitted_as) if fitted_as else out.drop("__fitted")
