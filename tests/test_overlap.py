@@ -159,3 +159,25 @@ def test_segments(spark):
 def test_tables_stay_in_step(spark):
     j = PairwiseOverlap(({"ro_min": 0.5},))
     assert rows(j.join(indexed(spark, A).repartition(5), indexed(spark, B), retain_index=True).select("index_a", "index_b")) == rows(j.join(indexed(spark, A), indexed(spark, B), retain_index=True).select("index_a", "index_b"))
+
+
+def test_pairs_of_several_stages_are_not_moved_to_be_compared(spark):
+    names = ["ro", "offset", "alleles", "filter", "xor", "exact", "own", "same size"]
+    got = PairwiseOverlap(tuple(STAGES[n][0] for n in names)).join(indexed(spark, A), indexed(spark, B), retain_index=True)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [(r.index_a, r.index_b) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == set().union(*(want(STAGES[n][1]) for n in names))
+
+
+def test_repeated_indexes_and_unlike_stages_still_give_one_row_a_pair(spark):
+    schema = "_index long, chrom string, pos long, `end` long, varlen long"
+    a = spark.createDataFrame([(7, "c", 10, 20, 10), (7, "c", 12, 20, 8)], schema)
+    b = spark.createDataFrame([(1, "c", 10, 20, 10), (2, "c", 4_000_000_000, 4_000_000_010, 10)], schema)
+    join = PairwiseOverlap(({"ro_min": 0.5}, {"offset_max": 5}, {"size_ro_min": 1}), join_cols=("index_a", "index_b", ("pos_a", "p")), drop_default_join_cols=True)
+    assert sorted(tuple(r) for r in join.join(a, b, retain_index=True).collect()) == [(7, 1, 10), (7, 2, 10)]
+    assert sorted(tuple(r) for r in join.join(a.coalesce(1), b.coalesce(1)).collect()) == [(0, 0, 10), (0, 1, 10), (1, 0, 12)]
+    part = F.array(F.struct("pos", "end", F.col("pos").alias("qry_pos"), F.col("end").alias("qry_end")))
+    x, y = (t.withColumns({"seg": part, "qry_pos": F.col("pos"), "qry_end": F.col("end")}).where("pos != 12").coalesce(1) for t in (a, b))
+    weights = WeightStrategy([("seg_ro", 2.0, None, 0.1)])
+    got = PairwiseOverlap(({"ro_min": 0.5}, {"ro_min": 0.5, "seg_ro_min": 0.5}), weight_strategy=weights).join(x, y).collect()
+    assert [(r.index_a, r.index_b, r.weight) for r in got] == [(0, 0, 2.0)]
