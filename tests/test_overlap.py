@@ -181,3 +181,28 @@ def test_repeated_indexes_and_unlike_stages_still_give_one_row_a_pair(spark):
     weights = WeightStrategy([("seg_ro", 2.0, None, 0.1)])
     got = PairwiseOverlap(({"ro_min": 0.5}, {"ro_min": 0.5, "seg_ro_min": 0.5}), weight_strategy=weights).join(x, y).collect()
     assert [(r.index_a, r.index_b, r.weight) for r in got] == [(0, 0, 2.0)]
+
+
+def test_segments_that_form_one_run_are_compiled_and_measured_alike(spark):
+    schema = "_index long, chrom string, pos long, `end` long, varlen long, seg array<struct<pos:bigint,end:bigint,qry_pos:bigint,qry_end:bigint>>, qry_pos long, qry_end long"
+    r = random.Random(5)
+
+    def data(n, whole):
+        out = []
+        for i in range(n):
+            p, cuts = r.randrange(0, 60), sorted(r.randrange(0, 20) for _ in range(2))
+            ends = [0, *cuts, 20]
+            seg = [(p + x, p + y, 2 * x, 2 * y) for x, y in zip(ends, ends[1:], strict=False) if whole and x < y]
+            if not whole:
+                seg = r.choice([None, [], [(p, p, 3, 5)], [(p + 20, p, 0, 40)], [(p, p + 5, 0, 5), (p + 5, p + 20, 5, 40)], [(p, p + 5, 0, 5), (p + 7, p + 20, 9, 22)], [(p, None, 0, 5)], [None]])
+            out.append((i, "c", p, p + 20, 20, seg, 0, r.choice([40, 44])))
+        return out
+
+    for whole_a, whole_b in ((True, True), (True, False), (False, True), (False, False)):
+        a, b = (spark.createDataFrame(data(30, w), schema) for w in (whole_a, whole_b))
+        got = PairwiseOverlap(({"ro_min": 0, "seg_ro_min": 0.4},), join_cols=("index_a", "index_b", "seg_ro"), drop_default_join_cols=True).join(a, b, retain_index=True)
+        assert ("aggregate(seg_a" in got._jdf.queryExecution().optimizedPlan().toString()) != (whole_a and whole_b)
+        x, y = (t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns]) for t, s in ((a, "a"), (b, "b")))
+        every = x.join(y, F.abs(F.col("pos_a") - F.col("pos_b")) < 20).select("_index_a", "_index_b", segment_overlap().alias("v")).where("v >= 0.4")
+        wanted = {(i, j): v for i, j, v in every.collect()}
+        assert {(i, j): v for i, j, v in got.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in wanted.items()} and wanted
