@@ -206,3 +206,17 @@ def test_segments_that_form_one_run_are_compiled_and_measured_alike(spark):
         every = x.join(y, F.abs(F.col("pos_a") - F.col("pos_b")) < 20).select("_index_a", "_index_b", segment_overlap().alias("v")).where("v >= 0.4")
         wanted = {(i, j): v for i, j, v in every.collect()}
         assert {(i, j): v for i, j, v in got.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in wanted.items()} and wanted
+
+
+def test_partners_are_counted_without_pairs_where_only_keys_count(spark):
+    from strandlake.plans.interval_queries import QUERIES
+
+    a, b = indexed(spark, A + A[:9]).withColumn("_index", F.col("_index") % 60), indexed(spark, B)
+    for stages in ([{}], [{"match_ref": True, "match_vartype": True}], [{"match_filter_pass": True}], [{"match_filter_pass": True, "compat_filter_xor": True}], [{"offset_max": 0}], [{"ro_min": 0.5}], [{"size_ro_min": 1}], [{"join_predicates": ["pos_a < pos_b"]}], [{"ro_min": 0.5}, {"offset_max": 7}]):
+        join = PairwiseOverlap(tuple(stages))
+        n = {}
+        for r in join.join(a, b, retain_index=True).collect():
+            n[r.index_a] = n.get(r.index_a, 0) + 1
+        assert dict(join.partners(a, b, retain_index=True).collect()) == n and n
+    many = QUERIES["overlap_cross"](spark, "/root/testdata/sf0.001")
+    assert "__salt" not in many._jdf.queryExecution().optimizedPlan().toString() and many.dtypes == [("index_a", "bigint"), ("n", "bigint")]
