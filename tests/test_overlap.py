@@ -220,3 +220,12 @@ def test_partners_are_counted_without_pairs_where_only_keys_count(spark):
         assert dict(join.partners(a, b, retain_index=True).collect()) == n and n
     many = QUERIES["overlap_cross"](spark, "/root/testdata/sf0.001")
     assert "__salt" not in many._jdf.queryExecution().optimizedPlan().toString() and many.dtypes == [("index_a", "bigint"), ("n", "bigint")]
+
+
+def test_weighted_multistage_query_moves_no_pairs(spark):
+    from strandlake.plans.interval_queries import QUERIES
+
+    got = QUERIES["overlap_weighted_multistage"](spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    pairs = got.select("index_a", "index_b").collect()
+    assert len(pairs) == len(set(pairs)) > 0
