@@ -229,3 +229,29 @@ def test_weighted_multistage_query_moves_no_pairs(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     pairs = got.select("index_a", "index_b").collect()
     assert len(pairs) == len(set(pairs)) > 0
+
+
+def test_near_stages_with_the_same_keys_find_their_pairs_in_one_join(spark):
+    from strandlake.plans.interval_queries import QUERIES
+
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    got = QUERIES["overlap_weighted_multistage"](spark, "/root/testdata/sf0.001")
+    assert joins(got) == 1 and "side_a" not in "".join(got.inputFiles())
+    typed = {"match_vartype": True, "offset_max": 30}, lambda a, b, m: a[7] == b[7] and m[2] <= 30
+    typed_ro = {"match_vartype": True, "ro_min": 0.2}, lambda a, b, m: a[7] == b[7] and m[0] >= 0.2 - 1e-7
+    for n, stages in ((1, [STAGES[s] for s in ("ro", "all", "exact", "prop")]), (1, [STAGES["exact"], STAGES["any"]]), (2, [STAGES["offset"], typed, typed_ro]), (2, [STAGES["prop"], STAGES["size"], STAGES["offset"]])):
+        for args in ({}, {"bin_width": 1}):
+            df = PairwiseOverlap(tuple(s for s, _ in stages), **args).join(indexed(spark, A), indexed(spark, B), retain_index=True)
+            pairs = [(r.index_a, r.index_b) for r in df.collect()]
+            assert joins(df) == n and len(pairs) == len(set(pairs)) and set(pairs) == set().union(*(want(rule) for _, rule in stages))
+
+
+def test_near_stages_with_null_lengths_far_ends_and_empty_tables(spark):
+    schema = "_index long, chrom string, pos long, `end` long, varlen long"
+    a = spark.createDataFrame([(1, "c", 1, 9, None), (2, "c", 50, 60, 10), (3, "c", 100, 90, 0), (4, "c", 7, 5_000_000_000, 4)], schema)
+    b = spark.createDataFrame([(1, "c", 1, 9, 8), (2, "c", 58, 68, 10), (3, "c", 100, 90, 0), (4, "c", 8, 12, 4)], schema)
+    for force in (False, True):
+        a = a.where("`end` < 1000") if force else a  # by end, the far one would overlap
+        join = PairwiseOverlap(({"ro_min": 0.9}, {"size_ro_min": 0.8, "offset_max": 8}, {"offset_max": 0}), force_end_ro=force)
+        assert {(r.index_a, r.index_b) for r in join.join(a, b, retain_index=True).collect()} == {(1, 1), (2, 2), (3, 3)}
+        assert join.join(a.limit(0), b, retain_index=True).collect() == [] == join.join(a, b.limit(0), retain_index=True).collect()
